@@ -13,7 +13,9 @@ import numpy as np
 from .lexicon import CLITIC_S, UNCLEAR
 
 #: Cells of one batch.
-CELLS = 400_000
+CELLS = 100_000
+#: Width of the first band beyond the difference of lengths.
+FIRST_BAND = 6
 _MASK, _CLITIC = 1, 2
 
 
@@ -38,22 +40,35 @@ def align(pairs: list[tuple[list[str], list[str]]], kinds=(), masked: bool = Tru
     holds on both sides. With ``masked``, an unclear mark takes no or one word freely and 's equals is and has.
     """
     out = np.zeros((len(pairs), 3 + len(kinds)), dtype=np.int64)
-    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
-    at = 0
-    while at < len(order):
-        end, n, m = at, 0, 0
-        while end < len(order):
-            a, b = (max(x, len(s)) for x, s in zip((n, m), pairs[order[end]], strict=True))
-            if end > at and (end - at + 1) * (a + 1) * (3 + len(kinds)) > CELLS // 4:
-                break
-            n, m, end = a, b, end + 1
-        batch = order[at:end]
-        out[batch] = _batch([pairs[i] for i in batch], n, m, kinds, masked)
-        at = end
+    masks = np.array([r.count(UNCLEAR) if masked else 0 for r, _ in pairs], dtype=np.int64)
+    # a path of cost c leaves the main diagonal by c and its free steps at most, so a band that wide is exact
+    band = np.array([abs(len(r) - len(h)) for r, h in pairs], dtype=np.int64) + masks + FIRST_BAND
+    todo = [*range(len(pairs))]
+    while todo:
+        todo.sort(key=lambda i: (band[i] // 32, len(pairs[i][0]), len(pairs[i][1])))
+        again, at = [], 0
+        while at < len(todo):
+            end, n, m = at, 0, 0
+            while end < len(todo):
+                a, b = (max(x, len(s)) for x, s in zip((n, m), pairs[todo[end]], strict=True))
+                if end > at and (end - at + 1) * (a + 1) * (3 + len(kinds)) > CELLS:
+                    break
+                n, m, end = a, b, end + 1
+            batch = todo[at:end]
+            wide = int(band[batch].max())
+            found = _batch([pairs[i] for i in batch], n, m, kinds, masked, wide)
+            for i, row in zip(batch, found, strict=True):
+                if row[:3].sum() + masks[i] <= wide or wide >= max(n, m):
+                    out[i] = row
+                else:
+                    band[i] = 4 * wide
+                    again.append(i)
+            at = end
+        todo = again
     return out
 
 
-def _batch(pairs, n: int, m: int, kinds, masked: bool) -> np.ndarray:
+def _batch(pairs, n: int, m: int, kinds, masked: bool, band: int) -> np.ndarray:
     size, width = len(pairs), 3 + len(kinds)
     refs, hyps, _ = _codes(pairs)
     ref, hyp = np.zeros((size, n + 1), dtype=np.int32), np.zeros((size, m + 1), dtype=np.int32)
@@ -68,7 +83,9 @@ def _batch(pairs, n: int, m: int, kinds, masked: bool) -> np.ndarray:
     c1, c2 = np.zeros((size, n + 1, width), dtype=np.int32), np.zeros((size, n + 1, width), dtype=np.int32)
     for k in range(n + m + 1):
         d0, c0 = np.full((size, n + 1), far, dtype=np.int64), np.zeros((size, n + 1, width), dtype=np.int32)
-        lo, hi = max(0, k - m), min(n, k)
+        lo, hi = max(0, k - m, (k - band + 1) // 2), min(n, k, (k + band) // 2)
+        if lo > hi:
+            continue
         if k == 0:
             d0[:, 0] = 0
         else:

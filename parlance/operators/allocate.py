@@ -33,14 +33,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def allocate(sizes: DataFrame, seed: str, targets: dict[str, float] | None = None, sequential: int = SEQUENTIAL) -> DataFrame:
     """(stratum, component, duration, split): longest components first, each to the split that is least full.
 
-    ``sizes`` has stratum, component, members (what the tie hash is taken of) and duration. Ties go by sha256.
+    ``sizes`` has stratum, component, members (what the tie hash is taken of) and duration. Ties go by sha256
+    of the seed, the stratum where it isn't empty, and the members.
     A split's fill is its duration over max(1, total x target). The rule is sequential by nature: strata of up
     to ``sequential`` components take it in one task each; larger strata go by weighted hashing, for which the
     law of large numbers keeps the targets.
     """
     targets = targets or TARGETS
     total = sizes.groupBy("stratum").agg(F.sum("duration").alias("total"))
-    tied = sizes.join(total, "stratum").withColumn("tie", F.sha2(F.concat_ws(":", F.lit(seed), "members"), 256))
+    tied = sizes.join(total, "stratum").withColumn("tie", F.sha2(F.concat_ws(":", F.lit(seed), F.nullif("stratum", F.lit("")), "members"), 256))
     fill = sorted(targets)
     hashed = F.array_max(F.array(*[F.struct((-F.lit(w) / F.log((F.pmod(F.xxhash64("tie", F.lit(s)), F.lit(1 << 40)) + 0.5) / float(1 << 40))).alias("v"), F.lit(s).alias("s")) for s, w in sorted(targets.items())]))["s"]
     cut = tied.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 REPETITIONS = {1: 8, 2: 8, 3: 4, **dict.fromkeys(range(4, 13), 3)}
 
 
+def _repeats(ids: Column, steps: Column, n: int):
+    return lambda i: F.forall(steps, lambda s: F.get(ids, i + s) == F.get(ids, i + s + n))
+
+
 def first_loop(ids: Column, smallest: int = 1, largest: int = 5, repetitions: dict[int, int] | int = 8) -> Column:
     """Struct (start, size) of the first loop, from 0; of one start the smallest size; null where there is none."""
     wanted = repetitions if isinstance(repetitions, dict) else dict.fromkeys(range(smallest, largest + 1), repetitions)
@@ -19,7 +23,7 @@ def first_loop(ids: Column, smallest: int = 1, largest: int = 5, repetitions: di
         # a loop of k runs: k - 1 runs' worth of tokens equal to the one n places on
         steps = F.sequence(F.lit(0), F.lit(n * (k - 1) - 1))
         starts = F.when(F.size(ids) >= n * k, F.sequence(F.lit(0), F.size(ids) - n * k))
-        hit = F.filter(starts, lambda i, n=n, steps=steps: F.forall(steps, lambda s: F.get(ids, i + s) == F.get(ids, i + s + n)))
+        hit = F.filter(starts, _repeats(ids, steps, n))
         found.append(F.when(F.size(hit) > 0, F.struct(F.get(hit, F.lit(0)).alias("start"), F.lit(n).alias("size"))))
     return F.array_min(F.array_compact(F.array(*found)))
 

@@ -36,7 +36,6 @@ def character_tokens(tokens: list[str]) -> list[str]:
 
 _WORDS = ("units", "subs", "dels", "ins")
 _EVENTS = [f"{k}_{c}" for k in KINDS for c in ("ref", "hyp", "tp")]
-COLUMNS = [*(f"verbatim_{c}" for c in _WORDS), *(f"conventional_{c}" for c in _WORDS), *(f"cer_{c}" for c in _WORDS), "unclear", *_EVENTS]
 LEXICAL_COLUMNS = [*(f"lexical_{c}" for c in _WORDS), *_EVENTS]
 
 
@@ -44,33 +43,40 @@ def _events(pairs, kinds) -> np.ndarray:
     return np.array([[sum(f(t, i) for i in range(len(t))) for f in kinds for t in p] for p in pairs], dtype=np.int64).reshape(len(pairs), -1, 2)
 
 
-def score_pairs(pairs: list[tuple[str | None, str | None]], table: str | None = None) -> pd.DataFrame:
-    """All counts of the canonical scorer for (reference, hypothesis) pairs; null counts as empty.
+PARTS = ("verbatim", "conventional", "cer", "events")
+
+
+def columns_of(parts: Sequence[str]) -> list[str]:
+    return [*(f"{p}_{c}" for p in PARTS[:3] if p in parts for c in _WORDS), "unclear", *(_EVENTS if "events" in parts else ())]
+
+
+def score_pairs(pairs: list[tuple[str | None, str | None]], parts: Sequence[str] = PARTS, table: str | None = None) -> pd.DataFrame:
+    """The counts of the canonical scorer that ``parts`` name, for (reference, hypothesis) pairs; null counts as empty.
 
     The character columns are null where the reference holds unclear words.
     """
-    kinds = kinds_of(L.FILLERS)
     tokens = [(canonical_tokens(r, table=table), canonical_tokens(h, table=table)) for r, h in pairs]
-    plain = [(canonical_tokens(r, True, table), canonical_tokens(h, True, table)) for r, h in pairs]
     unclear = np.array([r.count(L.UNCLEAR) for r, _ in tokens], dtype=np.int64)
-    out = {}
-    for name, ps in (("verbatim", tokens), ("conventional", plain)):
-        counts = align(ps, kinds if name == "verbatim" else ())
-        out[f"{name}_units"] = [sum(t != L.UNCLEAR for t in r) for r, _ in ps]
-        out |= {f"{name}_{c}": counts[:, k] for k, c in enumerate(_WORDS[1:])}
-        if name == "verbatim":
-            hits = counts[:, 3:]
-    chars = [(character_tokens(r), character_tokens(h)) if not u else ([], []) for (r, h), u in zip(tokens, unclear, strict=True)]
-    counts = align(chars)
-    cer = np.column_stack([[len(r) for r, _ in chars], counts]) if len(chars) else np.zeros((0, 4))
-    out |= {f"cer_{c}": pd.array(np.where(unclear > 0, 0, cer[:, k]), dtype="Int64") for k, c in enumerate(_WORDS)}
-    for c in _WORDS:
-        out[f"cer_{c}"][unclear > 0] = pd.NA
-    out["unclear"] = unclear
-    found = _events(tokens, kinds)
-    for k, name in enumerate(KINDS):
-        out |= {f"{name}_ref": found[:, k, 0], f"{name}_hyp": found[:, k, 1], f"{name}_tp": hits[:, k]}
-    return pd.DataFrame(out)[COLUMNS]
+    out = {"unclear": unclear}
+    if "verbatim" in parts or "events" in parts:
+        kinds = kinds_of(L.FILLERS) if "events" in parts else ()
+        counts = align(tokens, kinds)
+        out |= {"verbatim_units": [sum(t != L.UNCLEAR for t in r) for r, _ in tokens]} | {f"verbatim_{c}": counts[:, k] for k, c in enumerate(_WORDS[1:])}
+        if kinds:
+            found = _events(tokens, kinds)
+            for k, name in enumerate(KINDS):
+                out |= {f"{name}_ref": found[:, k, 0], f"{name}_hyp": found[:, k, 1], f"{name}_tp": counts[:, 3 + k]}
+    if "conventional" in parts:
+        plain = [(canonical_tokens(r, True, table), canonical_tokens(h, True, table)) for r, h in pairs]
+        counts = align(plain)
+        out |= {"conventional_units": [sum(t != L.UNCLEAR for t in r) for r, _ in plain]} | {f"conventional_{c}": counts[:, k] for k, c in enumerate(_WORDS[1:])}
+    if "cer" in parts:
+        chars = [(character_tokens(r), character_tokens(h)) if not u else ([], []) for (r, h), u in zip(tokens, unclear, strict=True)]
+        cer = np.column_stack([[len(r) for r, _ in chars], align(chars)]) if chars else np.zeros((0, 4))
+        for k, c in enumerate(_WORDS):
+            out[f"cer_{c}"] = pd.array(cer[:, k].astype(np.int64), dtype="Int64")
+            out[f"cer_{c}"][unclear > 0] = pd.NA
+    return pd.DataFrame(out)[columns_of(parts)]
 
 
 def score_lexical(pairs: list[tuple[str | None, str | None]]) -> pd.DataFrame:
@@ -84,15 +90,15 @@ def score_lexical(pairs: list[tuple[str | None, str | None]]) -> pd.DataFrame:
     return pd.DataFrame(out)[LEXICAL_COLUMNS]
 
 
-def scored(predictions: DataFrame, keys: Sequence[str], reference: str = "reference", hypothesis: str = "hypothesis", lexical: bool = False, table: str | None = None) -> DataFrame:
-    """The keys with one column for each count; rows with a null reference are left out, a null hypothesis is empty."""
-    columns = LEXICAL_COLUMNS if lexical else COLUMNS
+def scored(predictions: DataFrame, keys: Sequence[str], reference: str = "reference", hypothesis: str = "hypothesis", lexical: bool = False, parts: Sequence[str] = PARTS, table: str | None = None) -> DataFrame:
+    """The keys with one column for each count of the named parts; rows with a null reference are left out, a null hypothesis is empty."""
+    columns = LEXICAL_COLUMNS if lexical else columns_of(parts)
     base = predictions.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{reference}`").alias("_r"), F.col(f"`{hypothesis}`").alias("_h")).where("_r IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             pairs = [*zip(b["_r"], b["_h"], strict=True)]
-            s = score_lexical(pairs) if lexical else score_pairs(pairs, table)
+            s = score_lexical(pairs) if lexical else score_pairs(pairs, parts, table)
             yield pd.concat([b[list(keys)].reset_index(drop=True), s], axis=1)
 
     kinds = dict(base.dtypes)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize, tokens
 from ..functions.align import align
 from ..operators import bootstrap, loops, scoring
-from ..runtime import ship, table
+from ..runtime import ship, slots, table
 from . import manifests as M
 
 QUERIES: dict = {}
@@ -45,8 +45,10 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return t.select("example_id", F.upper(F.trim("recording")).alias("recording"), M.clean_split().alias("split"), "corpus", "text", "audio", "quality_tier", "boundary_method", "token_count", "speaker_count", "speakers", "flags", "overlap_seconds", "has_overlap", ms.alias("duration_ms")).distinct()
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "predictions").select("pred_id", "system", "mode", "corpus", "example_id", "blind_id", "reference", "hypothesis").distinct()
+def predictions(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
+    """Predictions once each; ``spread`` over all cores where costly Python work follows on few bytes."""
+    t = table(spark, d, "predictions").select("pred_id", "system", "mode", "corpus", "example_id", "blind_id", "reference", "hypothesis")
+    return (t.repartition(slots(spark), "pred_id") if spread else t).distinct()
 
 
 def bench(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +77,7 @@ def _sdi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def word_errors(spark: SparkSession, d: str) -> DataFrame:
     """(pred_id, system, corpus, blind_id, units, subs, dels, ins) by lexical tokens; a null hypothesis is empty."""
-    p = predictions(ship(spark), d).where("reference IS NOT NULL")
+    p = predictions(ship(spark), d, spread=True).where("reference IS NOT NULL")
     p = p.select("pred_id", "system", "corpus", "blind_id", tokens.lexical_tokens(F.col("reference")).alias("r"), tokens.lexical_tokens(F.coalesce("hypothesis", F.lit(""))).alias("h")).withColumn("units", F.size("r").cast("bigint"))
     return p.mapInPandas(_sdi, "pred_id long, system string, corpus string, blind_id string, units long, subs long, dels long, ins long")
 
@@ -117,48 +119,48 @@ def per_clip_advantage_top10(spark, d):
 
 # ---- canonical scores
 
-def canonical_scores(spark, d) -> DataFrame:
-    return scoring.scored(predictions(ship(spark), d), ["pred_id", "system", "mode", "corpus", "blind_id"])
+def canonical_scores(spark, d, *parts: str) -> DataFrame:
+    return scoring.scored(predictions(ship(spark), d, spread=True), ["pred_id", "system", "mode", "corpus", "blind_id"], parts=parts)
 
 
 @query()
 def canonical_report(spark, d):
-    return scoring.report(canonical_scores(spark, d), ["system", "mode"])
+    return scoring.report(canonical_scores(spark, d, "verbatim", "conventional", "cer"), ["system", "mode"])
 
 
 @query()
 def masked_sdi_counts(spark, d):
-    return scoring.micro(canonical_scores(spark, d), ["system"], "verbatim")
+    return scoring.micro(canonical_scores(spark, d, "verbatim"), ["system"], "verbatim")
 
 
 @query()
 def conventional_wer(spark, d):
-    return scoring.micro(canonical_scores(spark, d), ["system"], "conventional")
+    return scoring.micro(canonical_scores(spark, d, "conventional"), ["system"], "conventional")
 
 
 @query()
 def cer(spark, d):
-    return scoring.micro(canonical_scores(spark, d).where("cer_units IS NOT NULL"), ["system"], "cer")
+    return scoring.micro(canonical_scores(spark, d, "cer").where("cer_units IS NOT NULL"), ["system"], "cer")
 
 
 @query()
 def event_prf(spark, d):
-    return scoring.event_rates(canonical_scores(spark, d), ["system"])
+    return scoring.event_rates(canonical_scores(spark, d, "events"), ["system"])
 
 
 @query()
 def event_prf_lexical(spark, d):
-    return scoring.event_rates(scoring.scored(predictions(ship(spark), d), ["pred_id", "system"], lexical=True), ["system"], nullable=False)
+    return scoring.event_rates(scoring.scored(predictions(ship(spark), d, spread=True), ["pred_id", "system"], lexical=True), ["system"], nullable=False)
 
 
 @query()
 def conventional_macro(spark, d):
-    return scoring.macro(canonical_scores(spark, d), ["system"], "corpus", "conventional")
+    return scoring.macro(canonical_scores(spark, d, "conventional"), ["system"], "corpus", "conventional")
 
 
 @query()
 def canonical_tokens(spark, d):
-    return predictions(ship(spark), d).select("pred_id", tokens.canonical_tokens_column(F.col("reference")).alias("verbatim"), tokens.canonical_tokens_column(F.col("reference"), True).alias("conventional"))
+    return predictions(ship(spark), d, spread=True).select("pred_id", tokens.canonical_tokens_column(F.col("reference")).alias("verbatim"), tokens.canonical_tokens_column(F.col("reference"), True).alias("conventional"))
 
 
 # ---- bootstrap

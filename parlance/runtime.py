@@ -44,3 +44,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slots(spark: SparkSession) -> int:
+    """Partitions for work that is costly for its bytes: all cores, and as many as the session shuffles into."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
