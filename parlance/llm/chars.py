@@ -12,6 +12,7 @@ import unicodedata as ud
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 import regex
@@ -109,7 +110,6 @@ def composes(pair: str) -> bool:
 _JOINED = regex.compile(
     r"(?<=\p{Extended_Pictographic}[\p{Emoji_Modifier}\ufe0f]?)\u200d(?=\p{Extended_Pictographic})"
     r"|(?<=\p{Indic_Syllabic_Category=Virama})[\u200c\u200d]"
-    r"|(?<=[\u0900-\u0dff])[\u200c\u200d](?=[\u0900-\u0dff])"
 )
 _HIDDEN = regex.compile(f"[{INVISIBLE}]")
 _SPACES = regex.compile(r"[^\P{Zs} ]")
@@ -197,18 +197,11 @@ def _unify(text: str) -> str:
     if _HIDDEN.search(text):
         keep = {m.start() for m in _JOINED.finditer(text)}
         text = "".join(c for i, c in enumerate(text) if c not in INVISIBLE or i in keep)
-    out, run = [], []
-    for c in text:
-        if is_compatibility(c):
-            run.append(c)
-        else:
-            if run:
-                out.append(ud.normalize("NFKC", "".join(run)))
-                run = []
-            out.append(c)
-    if run:
-        out.append(ud.normalize("NFKC", "".join(run)))
-    return _SPACES.sub(" ", ud.normalize("NFC", "".join(out)))
+    if any(map(is_compatibility, set(text))):
+        text = "".join(ud.normalize("NFKC", "".join(run)) if odd else "".join(run) for odd, run in groupby(text, is_compatibility))
+    if not ud.is_normalized("NFC", text):
+        text = ud.normalize("NFC", text)
+    return _SPACES.sub(" ", text)
 
 
 def consistent(text: str | None) -> str | None:

@@ -3,6 +3,9 @@ and invisible characters, fillers and sound notes are set aside."""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import regex
 
 from .chars import consistent
@@ -14,7 +17,8 @@ FILLER = regex.compile(r"(?:u+m+|u+h+|e+r+m*|a+h+m*|h+m+|mm+)")
 _LINE_END = regex.compile(r"(?<=\p{L})-[ \t]*\r?\n[ \t]*(?=\p{L})")
 _INSIDE = regex.compile(r"(?<=[\p{L}\p{M}\p{N}])['’:\-‐‑]+(?=\p{L})")
 _SPACELESS = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-_WORD = regex.compile(rf"[{_SPACELESS}]\p{{M}}*|(?:(?![{_SPACELESS}])[\p{{L}}\p{{M}}\p{{N}}])+")
+_WORD = regex.compile(rf"(?V1)[{_SPACELESS}]\p{{M}}*|[[\p{{L}}\p{{M}}\p{{N}}]--[{_SPACELESS}]]+")
+_ASCII_WORD = re.compile("[a-z0-9]+")
 
 
 def without_notes(text: str) -> str:
@@ -27,23 +31,24 @@ def without_notes(text: str) -> str:
             return text
 
 
+@lru_cache(1 << 16)
 def is_filler(word: str) -> bool:
     return FILLER.fullmatch(word) is not None
 
 
-def words(text: str | None) -> list[str]:
-    """Words after case, punctuation, spacing, line-end hyphens and look-alikes; characters in scripts without spaces."""
-    if not text:
-        return []
-    text = consistent(text).lower()
+def _words(text: str) -> list[str]:
+    text = text.lower()
     if "-" in text and "\n" in text:
         text = _LINE_END.sub("", text)
-    return _WORD.findall(_INSIDE.sub("", text))
+    text = _INSIDE.sub("", text)
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
+def words(text: str | None) -> list[str]:
+    """Words after case, punctuation, spacing, line-end hyphens and look-alikes; characters in scripts without spaces."""
+    return _words(consistent(text)) if text else []
 
 
 def plain_words(text: str | None) -> list[str]:
     """Plain words; an empty list for null, empty and blank texts."""
-    if not text:
-        return []
-    text = consistent(text)
-    return [w for w in words(without_notes(text)) if not is_filler(w)]
+    return [w for w in _words(without_notes(consistent(text))) if not is_filler(w)] if text else []
