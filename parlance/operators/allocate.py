@@ -49,7 +49,7 @@ def allocate(sizes: DataFrame, seed: str, targets: dict[str, float] | None = Non
     hashes = {s: F.sha2(F.concat_ws(":", "tie", F.lit(s)), 256).alias(f"h_{s}") for s in fill}
     one_pass = tied.join(small, "stratum", "left_semi").select("stratum", "component", "duration", "total", "tie", *hashes.values())
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["duration", "tie"], ascending=[False, True], kind="stable")
         used, out = dict.fromkeys(targets, 0.0), []
         for r in rows.itertuples(index=False):
