@@ -159,7 +159,7 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for b in batches:
                 hits = index.leaks([plain_words(t) for t in b["_t"]], least)
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[[d for d, _ in hits]], "item": [k for _, k in hits]})
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[[d for d, _ in hits]], "item": pd.Series([k for _, k in hits], dtype=object)})
 
         part = docs.mapInPandas(search, f"doc_id {kind}, item string")
         found = part if found is None else found.unionByName(part)
