@@ -1,8 +1,8 @@
 """Minimum-edit alignment of token lists, for many pairs at once.
 
 Pairs of a batch are aligned together along the anti-diagonals of their matrices. Each cell carries its
-distance with the substitutions, deletions, insertions and true positives of the chosen path, so no
-backward pass is needed. Of equal distances the match comes first, then a mask with or without a word,
+distance with the substitutions and true positives of the chosen path, from which deletions and insertions
+follow, so no backward pass is needed. Of equal distances the match comes first, then a mask with or without a word,
 substitution, deletion and insertion.
 """
 
@@ -68,53 +68,64 @@ def align(pairs: list[tuple[list[str], list[str]]], kinds=(), masked: bool = Tru
     return out
 
 
+#: A cell's value: distance, masks without a word and substitutions, each in a field of 21 bits.
+_FIELD = 21
+_ONE, _FREE, _SUB = 1 << 2 * _FIELD, 1 << _FIELD, (1 << 2 * _FIELD) + 1
+_FAR = 1 << 62
+
+
 def _batch(pairs, n: int, m: int, kinds, masked: bool, band: int) -> np.ndarray:
-    size, width = len(pairs), 3 + len(kinds)
+    if max(n, m) >= 1 << _FIELD - 1:
+        raise ValueError("a list of more than a million tokens")
+    size, width = len(pairs), len(kinds)
     refs, hyps, _ = _codes(pairs)
     ref, hyp = np.zeros((size, n + 1), dtype=np.int32), np.zeros((size, m + 1), dtype=np.int32)
     for i, (r, h) in enumerate(zip(refs, hyps, strict=True)):
         ref[i, 1 : len(r) + 1], hyp[i, 1 : len(h) + 1] = r, h
-    rl, hl = np.array([len(r) for r in refs]), np.array([len(h) for h in hyps])
-    rf, hf = _flags([r for r, _ in pairs], n, kinds), _flags([h for _, h in pairs], m, kinds)
-    result = np.zeros((size, width), dtype=np.int64)
-    # cells of an anti-diagonal are kept by their row; -1 and -2 are the diagonals before
-    far = 1 << 28
-    d1, d2 = np.full((size, n + 1), far, dtype=np.int64), np.full((size, n + 1), far, dtype=np.int64)
-    c1, c2 = np.zeros((size, n + 1, width), dtype=np.int32), np.zeros((size, n + 1, width), dtype=np.int32)
+    rl, hl = np.array([len(r) for r in refs], dtype=np.int64), np.array([len(h) for h in hyps], dtype=np.int64)
+    if kinds:
+        rf, hf = (np.pad(_flags(x, w, kinds), ((0, 0), (1, 0), (0, 0))) for x, w in (([r for r, _ in pairs], n), ([h for _, h in pairs], m)))
+    special = masked and any(UNCLEAR in r or CLITIC_S in r or CLITIC_S in h for r, h in pairs)
+    value, hits = np.zeros(size, dtype=np.int64), np.zeros((size, width), dtype=np.int64)
+    # cells of an anti-diagonal stand at their row + 1; the buffers are this diagonal and the two before it
+    d = [np.full((size, n + 3), _FAR, dtype=np.int64) for _ in range(3)]
+    c = [np.zeros((size, n + 3, width), dtype=np.int32) for _ in range(3)] if kinds else None
     for k in range(n + m + 1):
-        d0, c0 = np.full((size, n + 1), far, dtype=np.int64), np.zeros((size, n + 1, width), dtype=np.int32)
         lo, hi = max(0, k - m, (k - band + 1) // 2), min(n, k, (k + band) // 2)
+        d0, d1, d2 = d[k % 3], d[(k - 1) % 3], d[(k - 2) % 3]
+        here, up = slice(lo + 1, hi + 2), slice(lo, hi + 1)
+        d0[:, lo], d0[:, min(hi + 2, n + 2)] = _FAR, _FAR
         if lo > hi:
             continue
         if k == 0:
-            d0[:, 0] = 0
+            d0[:, 1] = 0
         else:
-            i = np.arange(lo, hi + 1)
-            j = k - i
-            r, h = ref[:, i], hyp[:, j]
-            mask = (r == _MASK) if masked else np.zeros(r.shape, dtype=bool)
+            r, h = ref[:, lo : hi + 1], hyp[:, k - hi : k - lo + 1][:, ::-1]
             equal = r == h
-            same = equal | ((r == _CLITIC) & ((h == 3) | (h == 4))) | ((h == _CLITIC) & ((r == 3) | (r == 4))) if masked else equal
-            up = np.where(i > 0, i - 1, 0)
-            both = (i > 0) & (j > 0)
-            diagonal = np.where(both, d2[:, up] + np.where(mask | same, 0, 1), far)
-            delete = np.where(i > 0, d1[:, up] + np.where(mask, 0, 1), far)
-            insert = np.where(j > 0, d1[:, i] + 1, far)
-            # ties: match 0, mask with a word 1, mask without 2, substitution 3, deletion 4, insertion 5
-            rank = np.stack([diagonal * 8 + np.where(mask, 1, np.where(same, 0, 3)), delete * 8 + np.where(mask, 2, 4), insert * 8 + 5])
-            pick = rank.argmin(axis=0)
-            d0[:, i] = np.where(pick == 0, diagonal, np.where(pick == 1, delete, insert))
-            add = np.zeros((size, len(i), width), dtype=np.int32)
-            add[..., 0] = (pick == 0) & ~mask & ~same
-            add[..., 1] = (pick == 1) & ~mask
-            add[..., 2] = pick == 2
+            if special:
+                mask = r == _MASK
+                same = equal | mask | ((r == _CLITIC) & ((h == 3) | (h == 4))) | ((h == _CLITIC) & ((r == 3) | (r == 4)))
+                delete = d1[:, up] + np.where(mask, _FREE, _ONE)
+            else:
+                same = equal
+                delete = d1[:, up] + _ONE
+            best = d2[:, up] + np.where(same, 0, _SUB)
+            insert = d1[:, here] + _ONE
+            # of equal distances the diagonal step comes first, then the deletion
+            by_delete = delete >> 2 * _FIELD < best >> 2 * _FIELD
+            best = np.where(by_delete, delete, best)
+            by_insert = insert >> 2 * _FIELD < best >> 2 * _FIELD
+            d0[:, here] = np.where(by_insert, insert, best)
             if kinds:
-                ri, hj = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
-                if n and m:
-                    add[..., 3:] = ((pick == 0) & equal & both)[..., None] & rf[:, ri] & hf[:, hj]
-            p = pick[..., None]
-            c0[:, i] = np.where(p == 0, c2[:, up], np.where(p == 1, c1[:, up], c1[:, i])) + add
+                both = rf[:, lo : hi + 1] & hf[:, k - hi : k - lo + 1][:, ::-1] & equal[..., None]
+                c0, c1, c2 = c[k % 3], c[(k - 1) % 3], c[(k - 2) % 3]
+                c0[:, here] = np.where(by_insert[..., None], c1[:, here], np.where(by_delete[..., None], c1[:, up], c2[:, up] + both))
         done = np.flatnonzero((rl + hl == k) & (rl >= lo) & (rl <= hi))
-        result[done] = c0[done, rl[done]]
-        d1, d2, c1, c2 = d0, d1, c0, c1
-    return result
+        if len(done):
+            value[done] = d0[done, rl[done] + 1]
+            if kinds:
+                hits[done] = c[k % 3][done, rl[done] + 1]
+    cost, free, subs = value >> 2 * _FIELD, value >> _FIELD & _FREE - 1, value & _FREE - 1
+    # what the reference has more than the hypothesis is deleted more often than inserted, but for free steps
+    dels = (cost - subs - (hl - rl + free)) // 2
+    return np.column_stack([subs, dels, cost - subs - dels, hits])

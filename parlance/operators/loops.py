@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 REPETITIONS = {1: 8, 2: 8, 3: 4, **dict.fromkeys(range(4, 13), 3)}
 
 
-def _repeats(ids: Column, steps: Column, n: int):
-    return lambda i: F.forall(steps, lambda s: F.get(ids, i + s) == F.get(ids, i + s + n))
-
-
 def first_loop(ids: Column, smallest: int = 1, largest: int = 5, repetitions: dict[int, int] | int = 8) -> Column:
-    """Struct (start, size) of the first loop, from 0; of one start the smallest size; null where there is none."""
+    """Struct (start, size) of the first loop, from 0; of one start the smallest size; null where there is none.
+
+    A run of n tokens that comes k times is n * (k - 1) tokens in a row that equal the one n places on: those
+    equalities are written as a string of marks, in which that many in a row are searched.
+    """
     wanted = repetitions if isinstance(repetitions, dict) else dict.fromkeys(range(smallest, largest + 1), repetitions)
     found = []
     for n, k in sorted(wanted.items()):
-        if not smallest <= n <= largest:
-            continue
-        # a loop of k runs: k - 1 runs' worth of tokens equal to the one n places on
-        steps = F.sequence(F.lit(0), F.lit(n * (k - 1) - 1))
-        starts = F.when(F.size(ids) >= n * k, F.sequence(F.lit(0), F.size(ids) - n * k))
-        hit = F.filter(starts, _repeats(ids, steps, n))
-        found.append(F.when(F.size(hit) > 0, F.struct(F.get(hit, F.lit(0)).alias("start"), F.lit(n).alias("size"))))
+        if smallest <= n <= largest:
+            marks = F.array_join(F.transform(ids, _equals_later(ids, n)), "")
+            at = F.locate("1" * (n * (k - 1)), marks)
+            found.append(F.when(at > 0, F.struct((at - 1).alias("start"), F.lit(n).alias("size"))))
     return F.array_min(F.array_compact(F.array(*found)))
 
 
+def _equals_later(ids: Column, n: int):
+    return lambda t, i: F.when(t == F.get(ids, i + n), "1").otherwise("0")
+
+
 def trim_loop(ids: Column, loop: Column, keep: int = 1) -> Column:
     """Tokens up to and with ``keep`` runs of the loop; all of them where there is none."""
     return F.when(loop.isNull(), ids).otherwise(F.slice(ids, 1, loop["start"] + loop["size"] * keep))

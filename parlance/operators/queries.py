@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..runtime import ship, table
+from ..runtime import checkpointed, ship, table
 from ..sources import readers
 from . import allocate, segment
 from .intervals import periods_and_gaps, unit_intervals
@@ -67,8 +67,10 @@ def _lexical(spark, d):
     return segment.lexical(segment.timed_units(table(spark, d, "units")))
 
 
-def _chunked(spark, d):
-    return segment.assign_chunks(_lexical(ship(spark), d))
+def _chunked(spark, d, again: bool = False):
+    """Units with their chunk; ``again`` where they are read several times."""
+    chunked = segment.assign_chunks(_lexical(ship(spark), d))
+    return checkpointed(chunked) if again else chunked
 
 
 def chunk_units(spark: SparkSession, d: str) -> DataFrame:
@@ -78,17 +80,17 @@ def chunk_units(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with bounds, text, speakers, overlap and two tiers."""
-    return segment.chunk_rows(_chunked(spark, d)).select("example_id", "start_ms", "end_ms", "duration_ms", "text", "token_count", "speaker_count", "speakers", "flags", "overlap_ms", "overlap_ratio", "quality_tier")
+    return segment.chunk_rows(_chunked(spark, d, again=True)).select("example_id", "start_ms", "end_ms", "duration_ms", "text", "token_count", "speaker_count", "speakers", "flags", "overlap_ms", "overlap_ratio", "quality_tier")
 
 
 def chunk_tail_merge(spark: SparkSession, d: str) -> DataFrame:
     """Chunks after short tails are merged, padded by half a second, in three tiers."""
-    return segment.chunk_rows(segment.merge_tails(_chunked(spark, d)), 500, True).select("example_id", "start_ms", "end_ms", "overlap_ms", "quality_tier")
+    return segment.chunk_rows(segment.merge_tails(_chunked(spark, d, again=True)), 500, True).select("example_id", "start_ms", "end_ms", "overlap_ms", "quality_tier")
 
 
 def chunk_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and milliseconds by tier."""
-    return segment.chunk_rows(_chunked(spark, d)).groupBy("quality_tier").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("ms"))
+    return segment.chunk_rows(_chunked(spark, d, again=True)).groupBy("quality_tier").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("ms"))
 
 
 def long_units(spark: SparkSession, d: str) -> DataFrame:
