@@ -114,8 +114,8 @@ def encode_column(text: Column, ranks: str = DEFAULT_RANKS) -> Column:
 def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS, partitions: int | None = None) -> DataFrame:
     """(doc_id, ids) of every document, in one pass without a shuffle of texts.
 
-    Null and empty texts get an empty list, blank ones their ids; repeated rows come once per id, as the
-    id is the key. ``partitions`` spreads few large files over more tasks.
+    Null and empty texts get an empty list, blank ones their ids. Ids are taken as unique: a row that repeats
+    comes out again. ``partitions`` spreads few large files over more tasks. Other columns are ignored.
     """
     d = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("_t"))
     if partitions:
