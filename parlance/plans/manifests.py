@@ -118,3 +118,10 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str)
 def first_per(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key by an explicit order, without a window over the group."""
     return df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), F.struct(*order)).alias("_r")).select(key, "_r.*")
+
+
+def alignment_tier(coverage: Column, similarity: Column, overlap_share: Column, overlap: Column, uncertain: Column, several: Column) -> Column:
+    """A, B or CHALLENGE of a clip aligned to a recogniser's words."""
+    a = (coverage >= 0.65) & (similarity >= 0.70) & ~overlap & ~uncertain & ~several
+    b = (coverage >= 0.50) & (similarity >= 0.55) & (overlap_share <= 0.12) & ~uncertain
+    return F.when(a, "A").when(b, "B").otherwise("CHALLENGE")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize, tokens
 from ..functions.align import align
-from ..operators import bootstrap, loops, scoring
+from ..operators import blocks, bootstrap, loops, scoring
 from ..runtime import ship, slots, table
 from . import manifests as M
 
@@ -471,3 +472,43 @@ def loop_trim(spark, d):
 @query("SELECT example_id, pred_id, system, row_number() OVER (PARTITION BY example_id ORDER BY pred_id) - 1 AS turn_index FROM (SELECT DISTINCT example_id, pred_id, system FROM predictions WHERE example_id IS NOT NULL)")
 def sequence_index(spark, d):
     return M.numbered(predictions(spark, d).where("example_id IS NOT NULL").select("example_id", "pred_id", "system"), ["example_id"], ["pred_id"], "turn_index")
+
+
+# ---- further forms
+
+@query()
+def comparison_percent(spark, d):
+    """One row per system, rates in percent, as published comparisons give them."""
+    r = scoring.report(canonical_scores(spark, d, "verbatim", "conventional", "cer"), ["system"])
+    return r.select("system", "examples", "unclear_units", *[F.round(F.col(f"{p}_rate") * 100, 3).alias(f"{p}_percent") for p in ("verbatim", "conventional", "cer")])
+
+
+@query("SELECT DISTINCT pred_id, (row_number() OVER (ORDER BY pred_id) - 1) // 16 AS batch FROM (SELECT DISTINCT pred_id FROM predictions)")
+def batches(spark, d):
+    """Batches of sixteen rows by pred_id."""
+    ids = table(spark, d, "predictions").select("pred_id").distinct().withColumn("_all", F.lit(0))
+    n = blocks.row_numbers(ids, ["_all"], ["pred_id"], F.floor(F.col("pred_id") / 10_000), "n")
+    return n.select("pred_id", F.floor(F.col("n") / 16).alias("batch"))
+
+
+@query()
+def spelling_forms(spark, d):
+    """Words of references whose canonical spelling differs."""
+    words = predictions(ship(spark), d).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("reference"), F.lit("[a-z]+"), F.lit(0)))).alias("word")).distinct()
+    return words.withColumn("canonical", tokens.canonical_word_column(F.col("word"))).where("word <> canonical")
+
+
+@query("""SELECT example_id, CASE WHEN has_overlap OR list_contains(flags, 'uncertain') OR speaker_count > 1 THEN CASE WHEN NOT list_contains(flags, 'uncertain') AND overlap_ratio <= 0.12 THEN 'B' ELSE 'CHALLENGE' END ELSE 'A' END AS tier
+FROM (SELECT DISTINCT example_id, coalesce(has_overlap, false) AS has_overlap, coalesce(flags, []) AS flags, coalesce(speaker_count, 0) AS speaker_count, coalesce(overlap_ratio, 0) AS overlap_ratio FROM chunks)""")
+def alignment_tiers(spark, d):
+    """Tiers of aligned clips, all coverage and similarity known: A without overlap, doubt or second speaker; B with little overlap."""
+    c = table(spark, d, "chunks").select("example_id", F.coalesce("has_overlap", F.lit(False)).alias("overlap"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags"), F.coalesce("speaker_count", F.lit(0)).alias("speakers"), F.coalesce("overlap_ratio", F.lit(0.0)).alias("ratio")).distinct()
+    return c.select("example_id", M.alignment_tier(F.lit(1.0), F.lit(1.0), F.col("ratio"), F.col("overlap"), F.array_contains("flags", "uncertain"), F.col("speakers") > 1).alias("tier"))
+
+
+@query()
+def bootstrap_generator(spark, d):
+    """Intervals from 2,000 draws of Python's generator, as one by one."""
+    video = bench(spark, d).select("blind_id", F.col("video_id").alias("cluster")).distinct()
+    rates = bootstrap.generator_rates(bootstrap.cluster_sums(_errors(spark, d).join(video, "blind_id")), replicates=2_000)
+    return spark.createDataFrame([(s, *map(float, np.nanpercentile(r, [2.5, 97.5]))) for s, r in rates.items()], "system string, low double, high double")

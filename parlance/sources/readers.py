@@ -74,3 +74,46 @@ def require_rows(df: DataFrame, n: int) -> DataFrame:
     if found != n:
         raise ValueError(f"{found} rows instead of {n}")
     return df
+
+
+def resampled(samples: np.ndarray, rate: int, to: int = 16_000) -> np.ndarray:
+    """Polyphase resampling with a Kaiser-windowed low-pass filter; the length is rounded up."""
+    from math import gcd
+
+    g = gcd(rate, to)
+    up, down = to // g, rate // g
+    if up == down:
+        return samples
+    wide = max(up, down)
+    reach = 10 * wide
+    n = np.arange(-reach, reach + 1)
+    low_pass = np.sinc(n / wide) * np.kaiser(2 * reach + 1, 5.0)
+    low_pass *= up / low_pass.sum()
+    size = -(-len(samples) * up // down)
+    centre = np.arange(size) * down
+    out = np.zeros(size)
+    # each output sample sees the inputs whose place on the fine grid lies within the filter
+    first = -(-(centre - reach) // up)
+    for k in range(2 * reach // up + 1):
+        i = first + k
+        offset = centre - i * up
+        ok = (i >= 0) & (i < len(samples)) & (np.abs(offset) <= reach)
+        out[ok] += samples[i[ok]] * low_pass[offset[ok] + reach]
+    return out
+
+
+def read_any_wav(spark: SparkSession, path: str, to: int = 16_000) -> DataFrame:
+    """(path, rate, samples) of 8-, 16- and 32-bit WAV files of any rate: channels averaged, scaled, resampled."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for p, content in zip(b["path"], b["content"], strict=True):
+                with wave.open(io.BytesIO(content)) as w:
+                    kind = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}[w.getsampwidth()]
+                    raw = np.frombuffer(w.readframes(w.getnframes()), dtype=kind).reshape(-1, w.getnchannels()).astype(float)
+                    scaled = (raw - 128) / 128 if kind is np.uint8 else raw / 2.0 ** (8 * w.getsampwidth() - 1)
+                    out.append((p, to, resampled(scaled.mean(axis=1), w.getframerate(), to).astype(np.float32)))
+            yield pd.DataFrame(out, columns=["path", "rate", "samples"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, rate int, samples array<float>")

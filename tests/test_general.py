@@ -245,3 +245,18 @@ def test_stream(spark, tmp_path):
     q = stream.ingestion_totals(src.withWatermark("ingested_at", "1 day")).writeStream.outputMode("complete").format("memory").queryName("totals").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("totals").agg(F.sum("units")).first()[0] == 45
+
+
+def test_resampling(spark, tmp_path):
+    t = np.arange(8_000) / 8_000
+    tone = np.sin(2 * np.pi * 440 * t)
+    up = readers.resampled(tone, 8_000)
+    want = np.sin(2 * np.pi * 440 * np.arange(16_000) / 16_000)
+    assert len(up) == 16_000 and np.abs(up - want)[200:-200].max() < 0.01
+    assert len(readers.resampled(tone, 44_100)) == -(-8_000 * 160 // 441)
+    stereo = np.column_stack([tone, tone]) * 20_000
+    with wave.open(str(tmp_path / "s.wav"), "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(8_000)
+        w.writeframes(stereo.astype("<i2").tobytes())
+    x = readers.read_any_wav(spark, str(tmp_path / "s.wav")).first()
+    assert x["rate"] == 16_000 and np.abs(np.array(x["samples"]) * 32768 / 20_000 - want)[200:-200].max() < 0.02
