@@ -184,9 +184,9 @@ _ROWS = """SELECT recording, chunk, min(start_ms) AS s, arg_max(end_ms, (start_m
 _ID = "recording || '_' || CASE WHEN chunk < 10000 THEN lpad(CAST(chunk AS VARCHAR), 4, '0') ELSE CAST(chunk AS VARCHAR) END"
 _TIER = "CASE WHEN coalesce(overlap_ms, 0) > 0 OR list_contains(flags, 'unintelligible') OR list_contains(flags, 'uncertain') THEN 'CHALLENGE' ELSE 'A' END"
 SQL |= {
-    "chunk_units": f"WITH RECURSIVE {GREEDY} SELECT unit_id, recording, chunk FROM c",
+    "chunk_units": f"WITH RECURSIVE {GREEDY} SELECT unit_id, recording, CAST(chunk AS BIGINT) AS chunk FROM c",
     "chunk_rows": f"""WITH RECURSIVE {GREEDY}, {OVERLAP.format("c")}, r AS ({_ROWS.format("c")})
-SELECT {_ID} AS example_id, s AS start_ms, e AS end_ms, e - s AS duration_ms, text, {_TOKENS_OF} AS token_count, len(speakers) AS speaker_count, speakers, flags, coalesce(overlap_ms, 0) AS overlap_ms, round(coalesce(overlap_ms, 0) / greatest(e - s, 1), 6) AS overlap_ratio, {_TIER} AS quality_tier
+SELECT {_ID} AS example_id, s AS start_ms, e AS end_ms, e - s AS duration_ms, text, CAST({_TOKENS_OF} AS INT) AS token_count, CAST(len(speakers) AS INT) AS speaker_count, speakers, flags, coalesce(overlap_ms, 0) AS overlap_ms, round(coalesce(overlap_ms, 0) / greatest(e - s, 1), 6) AS overlap_ratio, {_TIER} AS quality_tier
 FROM r LEFT JOIN os USING (recording, chunk)""",
     "chunk_tail_merge": f"""WITH RECURSIVE {TAILS}, {OVERLAP.format("cm")}, r AS ({_ROWS.format("cm")}),
 x AS (SELECT *, greatest(s - 500, 0) AS a, e + 500 AS b FROM r LEFT JOIN os USING (recording, chunk))

@@ -242,7 +242,7 @@ def category_counts(spark, d):
     return M.frequencies(bench(spark, d), _CATEGORIES)
 
 
-@query("SELECT count(DISTINCT video_id) AS videos, count(DISTINCT (country, council_name)) AS councils, count(*) FILTER (analysis_eligible) AS eligible, sum(len(list_filter(regexp_split_to_array(coalesce(reference, ''), '\\s+'), lambda x: x <> ''))) AS words FROM (SELECT DISTINCT * FROM bench_items)")
+@query("SELECT count(DISTINCT video_id) AS videos, count(DISTINCT (country, council_name)) AS councils, count(*) FILTER (analysis_eligible) AS eligible, CAST(sum(len(list_filter(regexp_split_to_array(coalesce(reference, ''), '\\s+'), lambda x: x <> ''))) AS BIGINT) AS words FROM (SELECT DISTINCT * FROM bench_items)")
 def distinct_counts(spark, d):
     return bench(spark, d).agg(F.countDistinct("video_id").alias("videos"), F.countDistinct(F.struct("country", "council_name")).alias("councils"), F.count_if("analysis_eligible").alias("eligible"), F.sum(tokens.white_words(F.col("reference"))).alias("words"))
 
@@ -338,7 +338,7 @@ def exposure_repeat(spark, d):
     return M.exposure_repeat(chunks(spark, d).where("split = 'train'").select("example_id", "corpus"))
 
 
-@query("SELECT DISTINCT system, mode, corpus, example_id, blind_id, reference, hypothesis, len(loop_repairs) AS n_repairs FROM predictions")
+@query("SELECT DISTINCT system, mode, corpus, example_id, blind_id, reference, hypothesis, CAST(len(loop_repairs) AS INT) AS n_repairs FROM predictions")
 def public_projection(spark, d):
     return M.public_fields(table(spark, d, "predictions")).withColumn("n_repairs", F.when(F.col("loop_repairs").isNotNull(), F.size("loop_repairs"))).drop("loop_repairs").distinct()
 
@@ -469,7 +469,7 @@ def loop_trim(spark, d):
     return _loops(spark, d).select("pred_id", F.size(loops.trim_loop(F.col("t"), F.col("loop"))).alias("kept"))
 
 
-@query("SELECT example_id, pred_id, system, row_number() OVER (PARTITION BY example_id ORDER BY pred_id) - 1 AS turn_index FROM (SELECT DISTINCT example_id, pred_id, system FROM predictions WHERE example_id IS NOT NULL)")
+@query("SELECT example_id, pred_id, system, CAST(row_number() OVER (PARTITION BY example_id ORDER BY pred_id) - 1 AS INT) AS turn_index FROM (SELECT DISTINCT example_id, pred_id, system FROM predictions WHERE example_id IS NOT NULL)")
 def sequence_index(spark, d):
     return M.numbered(predictions(spark, d).where("example_id IS NOT NULL").select("example_id", "pred_id", "system"), ["example_id"], ["pred_id"], "turn_index")
 
