@@ -6,12 +6,11 @@ into islands that are grouped independently; no recording is held in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import checkpointed
 from . import blocks
 
 MAX_SPAN_MS, MAX_GAP_MS = 27_500, 3_000
@@ -38,19 +37,17 @@ def lexical(units: DataFrame, max_span_ms: int = MAX_SPAN_MS) -> DataFrame:
 
 
 def _greedy(max_span_ms: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rec, island, seq, ids = [], [], [], []
-            for r, i, us in zip(b["recording"], b["island"], b["us"], strict=True):
-                first, n = None, -1
-                for u in us:
-                    if first is None or u["end_ms"] - first > max_span_ms:
-                        first, n = u["start_ms"], n + 1
-                    rec.append(r)
-                    island.append(i)
-                    seq.append(n)
-                    ids.append(u["unit_id"])
-            yield pd.DataFrame({"recording": rec, "island": island, "seq": seq, "unit_id": ids})
+    @F.pandas_udf("array<int>")
+    def run(starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for s, e in zip(starts, ends, strict=True):
+            first, n, seq = None, -1, []
+            for a, b in zip(s.tolist(), e.tolist(), strict=True):
+                if first is None or b - first > max_span_ms:
+                    first, n = a, n + 1
+                seq.append(n)
+            out.append(seq)
+        return pd.Series(out, dtype=object)
 
     return run
 
@@ -59,19 +56,21 @@ def assign_chunks(units: DataFrame, max_span_ms: int = MAX_SPAN_MS, max_gap_ms:
     """Adds to lexical units the index of their chunk in the recording, from 0, and the chunk's ``island``.
 
     A chunk closes when the unit would end more than ``max_span_ms`` after its first start, or begins more
-    than ``max_gap_ms`` after the last appended unit's end.
+    than ``max_gap_ms`` after the last appended unit's end. Only the times of an island go through Python;
+    islands are written once, as their chunks are counted before they are numbered.
     """
     order = ["start_ms", "end_ms", "speaker", "unit_id"]
-    block = F.floor(F.col("start_ms") / BLOCK_MS)
-    u = units.select("unit_id", "recording", "speaker", "start_ms", "end_ms")
-    u = blocks.previous(u, ["recording"], order, block, "end_ms", "_prev").withColumn("_opens", F.when(F.col("_prev").isNull() | (F.col("start_ms") - F.col("_prev") > max_gap_ms), 1).otherwise(0))
-    u = blocks.running_sum(u, ["recording"], order, block, "_opens", "island")
-    packed = u.groupBy("recording", "island").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("us"))
-    placed = packed.mapInPandas(_greedy(max_span_ms), "recording string, island long, seq int, unit_id long")
+    u = units.select("unit_id", "recording", "speaker", "start_ms", "end_ms", "text", "flags", F.floor(F.col("start_ms") / BLOCK_MS).alias("_b"))
+    u = blocks.previous(u, ["recording"], order, F.col("_b"), "end_ms", "_prev").withColumn("_opens", F.when(F.col("_prev").isNull() | (F.col("start_ms") - F.col("_prev") > max_gap_ms), 1).otherwise(0))
+    u = blocks.running_sum(u, ["recording"], order, F.col("_b"), "_opens", "island")
+    packed = u.groupBy("recording", "island").agg(F.array_sort(F.collect_list(F.struct(*order, "text", "flags"))).alias("us"))
+    times = lambda c: F.transform("us", lambda x: x[c])
+    packed = checkpointed(packed.withColumn("seq", _greedy(max_span_ms)(times("start_ms"), times("end_ms"))))
     # chunks numbered through the recording
-    heads = placed.groupBy("recording", "island").agg((F.max("seq") + 1).alias("_chunks"))
-    heads = blocks.running_sum(heads, ["recording"], ["island"], F.floor(F.col("island") / 1_000), "_chunks", "_upto").withColumn("_ahead", F.col("_upto") - F.col("_chunks"))
-    return units.join(placed.join(heads.select("recording", "island", "_ahead"), ["recording", "island"]).select("unit_id", "island", (F.col("_ahead") + F.col("seq")).alias("chunk")), "unit_id")
+    heads = packed.select("recording", "island", (F.element_at("seq", -1) + 1).alias("_chunks"))
+    heads = blocks.running_sum(heads, ["recording"], ["island"], F.floor(F.col("island") / 1_000), "_chunks", "_upto").select("recording", "island", (F.col("_upto") - F.col("_chunks")).alias("_ahead"))
+    rows = packed.join(heads, ["recording", "island"]).select("recording", "island", "_ahead", F.explode(F.arrays_zip("us", "seq")).alias("x"))
+    return rows.select("x.us.unit_id", "recording", "x.us.speaker", "x.us.start_ms", "x.us.end_ms", "x.us.text", "x.us.flags", "island", (F.col("_ahead") + F.col("x.seq")).cast("bigint").alias("chunk"))
 
 
 def merge_tails(chunked: DataFrame, least_ms: int = 4_000, max_span_ms: int = MAX_SPAN_MS) -> DataFrame:
