@@ -284,10 +284,12 @@ def missing_recordings(spark, d):
     return M.unmatched(chunks(spark, d).select("recording").distinct(), known, "recording")
 
 
-@query("SELECT list_sort(list(DISTINCT corpus)) AS labels, list_sort(list(DISTINCT corpus)) = ['gcsause', 'latrobe', 'sbcsae'] AS complete FROM chunks")
+@query("SELECT list_sort(list(DISTINCT corpus)) AS labels, list_sort(list(DISTINCT corpus)) = (SELECT list_sort(list(DISTINCT corpus)) FROM recordings) AS complete FROM chunks")
 def corpus_labels(spark, d):
-    labels = F.array_sort(F.collect_set("corpus"))
-    return table(spark, d, "chunks").agg(labels.alias("labels")).withColumn("complete", F.col("labels") == F.array(*map(F.lit, ("gcsause", "latrobe", "sbcsae"))))
+    """The corpora of the chunks, and whether they are those of the recordings."""
+    both = table(spark, d, "chunks").select(F.lit("c").alias("t"), "corpus").unionByName(table(spark, d, "recordings").select(F.lit("r").alias("t"), "corpus")).distinct()
+    sides = both.agg(F.array_sort(F.collect_set(F.when(F.col("t") == "c", F.col("corpus")))).alias("labels"), F.array_sort(F.collect_set(F.when(F.col("t") == "r", F.col("corpus")))).alias("known"))
+    return sides.select("labels", (F.col("labels") == F.col("known")).alias("complete"))
 
 
 _MANIFESTS = """m AS (SELECT example_id AS id, corpus, split, duration_ms, token_count, NULL AS system FROM chunk

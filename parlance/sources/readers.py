@@ -26,7 +26,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(_stem().alias("recording"), F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r\n", "\n").alias("text"))
 
 
-def read_segment_table(spark: SparkSession, path: str, prefix: str = "SBC") -> DataFrame:
+def read_segment_table(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """(recording, speaker_ids, extra) of headerless tables (recording, key, value...).
 
     A recording is named by its trailing digits. Values of ``speaker`` gather as a sorted set, of another key

@@ -133,8 +133,8 @@ def test_files(spark, tmp_path):
     assert t["recording"] == "R1" and t["text"] == CHAT
     assert parse.parse_tiers(readers.read_transcripts(spark, str(tmp_path / "*.cha")), "recording", "text").count() == 3
     (tmp_path / "segment.tbl").write_text("sbc007\tspeaker\t12\nsbc007\tspeaker\t3\nsbc007\ttitle:\tone\tx\nsbc007\ttitle\ttwo\nshort\tline\nnone\tkey\tv\n")
-    s = readers.read_segment_table(spark, str(tmp_path / "segment.tbl")).collect()
-    assert [(x["recording"], x["speaker_ids"], x["extra"]) for x in s] == [("SBC007", ["12", "3"], {"title": "two"})]
+    s = readers.read_segment_table(spark, str(tmp_path / "segment.tbl"), "REC").collect()
+    assert [(x["recording"], x["speaker_ids"], x["extra"]) for x in s] == [("REC007", ["12", "3"], {"title": "two"})]
     writers.write_jsonl(m, str(tmp_path / "out"), ["example_id"], one_file=True)
     lines = [json.loads(x) for p in (tmp_path / "out").glob("part*") for x in p.read_text().splitlines()]
     assert [x["example_id"] for x in lines] == ["a", "b"] and list(lines[0]) == sorted(lines[0])
