@@ -149,7 +149,7 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     held = items.select(F.col(f"`{item_id}`").cast("string").alias("k"), F.col(f"`{item_text}`").alias("t")).where("k IS NOT NULL AND t IS NOT NULL").distinct()
     chars = held.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     passes = max(1, -(-int(chars) // pass_chars))
-    docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_t")).where(F.length("_t") >= 2 * passage - 1)
+    docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_t")).where(F.length("_t") >= passage)
     kind = dict(docs.dtypes)["doc_id"]
     found = None
     for i in range(passes):
