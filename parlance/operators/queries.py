@@ -63,12 +63,12 @@ os AS (SELECT recording, chunk, CAST(sum(w) AS BIGINT) AS overlap_ms FROM ov GRO
 _WORD = "[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)*(?:-[A-Za-z0-9]+)*-?"
 
 
-def _lexical(spark, d):
-    return segment.lexical(segment.timed_units(table(spark, d, "units")))
+def _units(spark, d):
+    return segment.timed_units(table(ship(spark), d, "units"))
 
 
 def _chunked(spark, d):
-    return segment.assign_chunks(_lexical(ship(spark), d))
+    return segment.assign_chunks(segment.lexical(_units(spark, d)))
 
 
 def chunk_units(spark: SparkSession, d: str) -> DataFrame:
@@ -78,28 +78,27 @@ def chunk_units(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with bounds, text, speakers, overlap and two tiers."""
-    return segment.chunk_rows(_chunked(spark, d)).select("example_id", "start_ms", "end_ms", "duration_ms", "text", "token_count", "speaker_count", "speakers", "flags", "overlap_ms", "overlap_ratio", "quality_tier")
+    return segment.chunk_rows(_chunked(spark, d), _units(spark, d)).select("example_id", "start_ms", "end_ms", "duration_ms", "text", "token_count", "speaker_count", "speakers", "flags", "overlap_ms", "overlap_ratio", "quality_tier")
 
 
 def chunk_tail_merge(spark: SparkSession, d: str) -> DataFrame:
     """Chunks after short tails are merged, padded by half a second, in three tiers."""
-    return segment.chunk_rows(segment.merge_tails(_chunked(spark, d)), 500, True).select("example_id", "start_ms", "end_ms", "overlap_ms", "quality_tier")
+    return segment.chunk_rows(segment.merge_tails(_chunked(spark, d)), _units(spark, d), 500, True).select("example_id", "start_ms", "end_ms", "overlap_ms", "quality_tier")
 
 
 def chunk_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and milliseconds by tier."""
-    return segment.chunk_rows(_chunked(spark, d)).groupBy("quality_tier").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("ms"))
+    return segment.chunk_rows(_chunked(spark, d), _units(spark, d)).groupBy("quality_tier").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("ms"))
 
 
 def long_units(spark: SparkSession, d: str) -> DataFrame:
     """Lexical units longer than a chunk may be."""
-    u = segment.timed_units(table(spark, d, "units"))
-    return u.where(F.col("text").rlike("[A-Za-z0-9]") & (F.col("end_ms") - F.col("start_ms") > segment.MAX_SPAN_MS)).select("unit_id", "recording", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+    return _units(spark, d).where(F.col("worded") & (F.col("end_ms") - F.col("start_ms") > segment.MAX_SPAN_MS)).select("unit_id", "recording", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
 
 
 def recording_stats(spark: SparkSession, d: str) -> DataFrame:
     """Units, speakers and the latest end of each recording."""
-    return segment.timed_units(table(spark, d, "units")).groupBy("recording").agg(F.count(F.lit(1)).alias("units"), F.countDistinct("speaker").alias("speakers"), F.coalesce(F.max("end_ms"), F.lit(0)).alias("last_ms"))
+    return _units(spark, d).groupBy("recording").agg(F.count(F.lit(1)).alias("units"), F.countDistinct("speaker").alias("speakers"), F.coalesce(F.max("end_ms"), F.lit(0)).alias("last_ms"))
 
 
 # ---- groups and splits

@@ -25,15 +25,18 @@ def timed_units(units: DataFrame) -> DataFrame:
     Units without recording, speaker, start or end, and with end not after start, are left out.
     """
     ms = lambda c: F.expr(f"cast(round(`{c}` * 1000) AS bigint)")
-    t = units.select("unit_id", "recording", F.expr("nullif(upper(trim(speaker)), '')").alias("speaker"), ms("start").alias("start_ms"), ms("end").alias("end_ms"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags"), "ingested_at")
+    text = F.coalesce("text", F.lit(""))
+    t = units.select("unit_id", "recording", F.expr("nullif(upper(trim(speaker)), '')").alias("speaker"), ms("start").alias("start_ms"), ms("end").alias("end_ms"), text.rlike("[A-Za-z0-9]").alias("worded"), text.alias("text"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags"), "ingested_at")
     t = t.where("unit_id IS NOT NULL AND recording IS NOT NULL AND speaker IS NOT NULL AND end_ms > start_ms")
-    first = F.min_by(F.struct("recording", "speaker", "start_ms", "end_ms", "text", "flags"), F.struct("ingested_at", "start_ms", "end_ms", "speaker", "text")).alias("u")
-    return t.groupBy("unit_id").agg(first).select("unit_id", "u.*")
+    order = F.struct("ingested_at", "start_ms", "end_ms", "speaker", F.xxhash64("text"))
+    # texts apart from times, so that who needs only these moves only these
+    first = t.groupBy("unit_id").agg(F.min_by(F.struct("recording", "speaker", "start_ms", "end_ms", "worded"), order).alias("u"), F.min_by(F.struct("text", "flags"), order).alias("t"))
+    return first.select("unit_id", "u.*", "t.*")
 
 
 def lexical(units: DataFrame, max_span_ms: int = MAX_SPAN_MS) -> DataFrame:
     """Units with a word, of a person, no longer than a chunk may be."""
-    return units.where(F.col("text").rlike(r"[A-Za-z0-9]") & (F.col("end_ms") - F.col("start_ms") <= max_span_ms) & ~F.col("speaker").isin(*NOT_PEOPLE))
+    return units.where(F.col("worded") & (F.col("end_ms") - F.col("start_ms") <= max_span_ms) & ~F.col("speaker").isin(*NOT_PEOPLE))
 
 
 def _greedy(max_span_ms: int):
@@ -53,24 +56,24 @@ def _greedy(max_span_ms: int):
 
 
 def assign_chunks(units: DataFrame, max_span_ms: int = MAX_SPAN_MS, max_gap_ms: int = MAX_GAP_MS) -> DataFrame:
-    """Adds to lexical units the index of their chunk in the recording, from 0, and the chunk's ``island``.
+    """(unit_id, recording, speaker, start_ms, end_ms, island, chunk) of lexical units; chunks count from 0 in a recording.
 
     A chunk closes when the unit would end more than ``max_span_ms`` after its first start, or begins more
-    than ``max_gap_ms`` after the last appended unit's end. Only the times of an island go through Python;
-    islands are written once, as their chunks are counted before they are numbered.
+    than ``max_gap_ms`` after the last appended unit's end. Texts stay where they are; only times move, and go
+    through Python. Islands are written once, as their chunks are counted before they are numbered.
     """
     order = ["start_ms", "end_ms", "speaker", "unit_id"]
-    u = units.select("unit_id", "recording", "speaker", "start_ms", "end_ms", "text", "flags", F.floor(F.col("start_ms") / BLOCK_MS).alias("_b"))
+    u = units.select("unit_id", "recording", "speaker", "start_ms", "end_ms", F.floor(F.col("start_ms") / BLOCK_MS).alias("_b"))
     u = blocks.previous(u, ["recording"], order, F.col("_b"), "end_ms", "_prev").withColumn("_opens", F.when(F.col("_prev").isNull() | (F.col("start_ms") - F.col("_prev") > max_gap_ms), 1).otherwise(0))
     u = blocks.running_sum(u, ["recording"], order, F.col("_b"), "_opens", "island")
-    packed = u.groupBy("recording", "island").agg(F.array_sort(F.collect_list(F.struct(*order, "text", "flags"))).alias("us"))
+    packed = u.groupBy("recording", "island").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("us"))
     times = lambda c: F.transform("us", lambda x: x[c])
     packed = checkpointed(packed.withColumn("seq", _greedy(max_span_ms)(times("start_ms"), times("end_ms"))))
     # chunks numbered through the recording
     heads = packed.select("recording", "island", (F.element_at("seq", -1) + 1).alias("_chunks"))
     heads = blocks.running_sum(heads, ["recording"], ["island"], F.floor(F.col("island") / 1_000), "_chunks", "_upto").select("recording", "island", (F.col("_upto") - F.col("_chunks")).alias("_ahead"))
     rows = packed.join(heads, ["recording", "island"]).select("recording", "island", "_ahead", F.explode(F.arrays_zip("us", "seq")).alias("x"))
-    return rows.select("x.us.unit_id", "recording", "x.us.speaker", "x.us.start_ms", "x.us.end_ms", "x.us.text", "x.us.flags", "island", (F.col("_ahead") + F.col("x.seq")).cast("bigint").alias("chunk"))
+    return rows.select("x.us.unit_id", "recording", "x.us.speaker", "x.us.start_ms", "x.us.end_ms", "island", (F.col("_ahead") + F.col("x.seq")).cast("bigint").alias("chunk"))
 
 
 def merge_tails(chunked: DataFrame, least_ms: int = 4_000, max_span_ms: int = MAX_SPAN_MS) -> DataFrame:
@@ -99,15 +102,16 @@ def overlap_ms(chunked: DataFrame) -> DataFrame:
     return depth.groupBy(*k).agg(F.coalesce(F.sum(F.when(F.col("depth") > 1, F.col("w"))), F.lit(0)).cast("bigint").alias("overlap_ms"))
 
 
-def chunk_rows(chunked: DataFrame, padding_ms: int = 0, three_tiers: bool = False) -> DataFrame:
+def chunk_rows(chunked: DataFrame, units: DataFrame, padding_ms: int = 0, three_tiers: bool = False) -> DataFrame:
     """One row per chunk: bounds, duration, text, tokens, speakers, flags, overlap and tier.
 
+    Texts and flags come from ``units`` by unit_id.
     ``end_ms`` is the end of the last appended unit. Two tiers are A and CHALLENGE (any overlap, unintelligible
     or uncertain speech); three add B for an overlap of at most 5 % of the padded duration.
     """
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "speaker", "unit_id", "text"))), lambda x: x[c])
     last = F.max_by("end_ms", F.struct("start_ms", "end_ms", "speaker", "unit_id"))
-    rows = chunked.groupBy("recording", "chunk").agg(
+    rows = chunked.join(units.select("unit_id", "text", "flags"), "unit_id").groupBy("recording", "chunk").agg(
         F.greatest(F.min("start_ms") - padding_ms, F.lit(0)).alias("start_ms"),
         (last + padding_ms).alias("end_ms"),
         F.trim(F.array_join(ordered("text"), " ")).alias("text"),

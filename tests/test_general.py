@@ -45,7 +45,7 @@ def test_chunks(spark, seed, monkeypatch):
 def test_overlap_and_tiers(spark):
     rows = [(1, "A", "X", 0, 1000, "a", []), (2, "A", "Y", 500, 1500, "b", ["unintelligible"]), (3, "A", "X", 900, 1200, "c", []), (4, "A", "X", 60_000, 61_000, "d", [])]
     df = spark.createDataFrame([(*x, 0) for x in rows], "unit_id long, recording string, speaker string, start_ms long, end_ms long, text string, flags array<string>, chunk int").withColumn("chunk", F.when(F.col("unit_id") == 4, 1).otherwise(0))
-    got = {x["chunk"]: x for x in segment.chunk_rows(df).collect()}
+    got = {x["chunk"]: x for x in segment.chunk_rows(df.drop("text", "flags"), df).collect()}
     assert got[0]["overlap_ms"] == 700 and got[0]["quality_tier"] == "CHALLENGE" and got[0]["text"] == "a b c"
     assert got[1]["overlap_ms"] == 0 and got[1]["quality_tier"] == "A" and got[1]["example_id"] == "A_0001"
 
