@@ -27,6 +27,8 @@ from .plain import is_filler, without_notes
 SAMPLE = 300
 #: Longest text before a colon that is looked at as a label.
 LABEL_CHARS = 80
+#: Fewest rows of each kind that decisions are trained on; with fewer, each label that names speakers begins a turn.
+LEAST_LABELLED = 20
 
 _CLOCK = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d+)?"
 _STAMP = regex.compile(rf"[\s\x15]*(?:\[\s*{_CLOCK}\s*\]|\(\s*{_CLOCK}\s*\)|<\s*{_CLOCK}\s*>|{_CLOCK}(?=[\s:;]|$))[\s\x15]*")
@@ -213,6 +215,8 @@ def train(transcripts: list[tuple[str, str, list[str]]]) -> Boosted:
                         other[1], other[2], other[3], other[8] = 0.0, n, 0, 1 / len(lines)
                         xs.append(other[None])
                         ys.append(0)
+    if min(ys.count(0), ys.count(1)) < LEAST_LABELLED:
+        return Boosted()
     return Boosted().fit(np.vstack(xs), np.array(ys))
 
 
