@@ -19,14 +19,15 @@ def first_loop(ids: Column, smallest: int = 1, largest: int = 5, repetitions: di
     found = []
     for n, k in sorted(wanted.items()):
         if smallest <= n <= largest:
-            marks = F.array_join(F.transform(ids, _equals_later(ids, n)), "")
+            # zipped with itself n places on: a lambda must not refer to the whole array, which would be made again for each element
+            marks = F.array_join(F.zip_with(ids, F.slice(ids, n + 1, F.greatest(F.size(ids), F.lit(0))), _mark), "")
             at = F.locate("1" * (n * (k - 1)), marks)
             found.append(F.when(at > 0, F.struct((at - 1).alias("start"), F.lit(n).alias("size"))))
     return F.array_min(F.array_compact(F.array(*found)))
 
 
-def _equals_later(ids: Column, n: int):
-    return lambda t, i: F.when(t == F.get(ids, i + n), "1").otherwise("0")
+def _mark(now: Column, later: Column) -> Column:
+    return F.when(now == later, "1").otherwise("0")
 
 
 def trim_loop(ids: Column, loop: Column, keep: int = 1) -> Column:
