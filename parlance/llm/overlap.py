@@ -1,14 +1,17 @@
 """Same or nearly the same records across splits.
 
-Records are cut into content-defined chunks: a cut lies before each word whose rolling hash falls under
-a fraction of all values, so an edit moves only the cuts beside it. Records of different splits that share
-chunk digests are candidates; the lengths of the shared chunks give each pair's overlap. An exact word
-edit distance follows. Exact copies are one class throughout and expand only in the final rows.
+Candidates are complete: of a longer record's n - 2 runs of three words, n/4 edits leave at least n/4 - 2 whole,
+so records that share fewer are no pair. Only the rarest runs of each record need be joined to find all others.
+An exact word edit distance follows. For the pairs found, content-defined chunks (a cut lies before each word
+whose rolling hash falls under a fraction of all values) give the overlap by the lengths of the shared chunks.
+Exact copies are one class throughout and expand only in the final rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,11 @@ CUT_SHARE, MIN_WORDS, MAX_WORDS, CUTTINGS = 1 / 3, 4, 16, 8
 SHORT = 45
 #: Fewest plain words of a record, and the share of the longer one that may be edited.
 LEAST_WORDS, EDIT_SHARE = 20, 0.25
-#: Records whose chunks are made at a time, for memory.
+#: Words of a run, and runs that a pair shares at least: with LEAST_WORDS and EDIT_SHARE, no pair shares fewer.
+RUN, COMMON = 3, 3
+#: Records whose runs are counted for the order of rarity, and runs that are kept from it. Any order is right.
+RARITY_SAMPLE, RARITY_KEPT = 20_000, 20_000
+#: Records whose runs are made at a time, for memory.
 _ROWS = 1_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(MAX_WORDS, _BASE, dtype=np.uint64), dtype=np.uint64)
@@ -100,24 +107,87 @@ def _plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[b["n"] >= LEAST_WORDS, ["_id", "_split", "_source", "words", "n"]]
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def run_digests(records: list[list[str]], hot: np.ndarray | None = None, count: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(record, digest) of each record's rarest runs of ``RUN`` words, as many as a pair needs to share ``COMMON``.
+
+    ``hot`` has runs in order of value, with their ``count``; others are rare; ``every`` keeps all runs. A run's second, third ... occurrence
+    in a record is a run of its own. With T = ceil(n / 4) - 2 runs shared by any pair, the first ``COMMON`` shared
+    ones lie before the last T - COMMON of either record.
+    """
+    sizes = np.array([len(r) for r in records], dtype=np.int64)
+    flat = [w for r in records for w in r]
+    if len(flat) < RUN:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    vocabulary: dict[str, int] = {}
+    codes = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in flat), dtype=np.int64, count=len(flat))
+    word = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary], dtype=np.uint64)[codes]
+    owner = np.repeat(np.arange(len(records)), sizes)
+    with np.errstate(over="ignore"):
+        run = sum(word[i : len(word) - RUN + 1 + i] * _POWERS[i] for i in range(RUN))
+        whole = owner[: len(run)] == owner[RUN - 1 :]
+        run, owner = run[whole], owner[: len(run)][whole]
+        often = np.zeros(len(run), dtype=np.int64)
+        if hot is not None and len(hot):
+            at = np.minimum(np.searchsorted(hot, run), len(hot) - 1)
+            often = np.where(hot[at] == run, count[at], 0)
+        order = np.lexsort((run, often, owner))
+        run, owner = run[order], owner[order]
+        place = np.arange(len(run))
+        group = np.ones(len(run), dtype=bool)
+        group[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
+        occurrence = place - np.maximum.accumulate(np.where(group, place, 0))
+        least = np.ceil(sizes * EDIT_SHARE).astype(np.int64) - (RUN - 1)
+        keep = place - np.searchsorted(owner, owner) < (sizes - (RUN - 1) - np.maximum(least - COMMON, 0) * (not every))[owner]
+        digest = run + occurrence.astype(np.uint64) * _BASE
+    return owner[keep], digest[keep].view(np.int64)
+
+
+def _digests(batches: Iterator[pd.DataFrame], hot: np.ndarray, count: np.ndarray) -> Iterator[pd.DataFrame]:
     for b in (x.iloc[i : i + _ROWS] for x in batches for i in range(0, len(x), _ROWS)):
-        owner, digest, place, length = chunk_digests([w.split(" ") for w in b["words"]])
-        n = b["n"].to_numpy()[owner]
-        rows = pd.DataFrame({"owner": owner, "digest": digest, "place": place.astype(np.int32), "length": length.astype(np.int32), "n": n})
-        rows = rows.drop_duplicates(["owner", "digest"])
-        yield rows.assign(cls=b["cls"].to_numpy()[rows["owner"]]).drop(columns="owner")
+        owner, digest = run_digests([w.split(" ") for w in b["words"]], hot, count)
+        yield pd.DataFrame({"digest": digest, "n": b["n"].to_numpy()[owner], "cls": b["cls"].to_numpy()[owner]})
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in (x.iloc[i : i + _ROWS] for x in batches for i in range(0, len(x), _ROWS)):
+        _, digest = run_digests([w.split(" ") for w in b["words"]], every=True)
+        run, count = np.unique(digest, return_counts=True)
+        yield pd.DataFrame({"run": run, "count": count})
+
+
+def _hot(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent runs of a sample, in order of value, and their counts."""
+    every = max(1, reps.count() // RARITY_SAMPLE)
+    some = reps.where(F.pmod(F.xxhash64("words"), F.lit(every)) == 0).select("words")
+    top = some.mapInPandas(_runs, "run long, count long").groupBy("run").agg(F.sum("count").alias("count")).where("count > 1").orderBy(F.desc("count"), "run").limit(RARITY_KEPT).collect()
+    run, count = np.array([r["run"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in top], dtype=np.int64)
+    order = np.argsort(run)
+    return run[order], count[order]
+
+
+def _overlaps(a: list[list[str]], b: list[list[str]]) -> np.ndarray:
+    """Share of the shorter record's words in chunks that both records of a pair have, near in place."""
+    side = ["owner", "digest", "place", "length"]
+    chunks = [pd.DataFrame(dict(zip(side, chunk_digests(x), strict=True))).drop_duplicates(["owner", "digest"]) for x in (a, b)]
+    n = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.int64).reshape(-1, 2)
+    m = chunks[0].merge(chunks[1][side[:3]], on=["owner", "digest"], suffixes=("", "_b"))
+    m = m[(m["place"] - m["place_b"]).abs() <= np.floor(n.max(axis=1) * EDIT_SHARE)[m["owner"]]]
+    return np.bincount(m["owner"], m["length"], minlength=len(n)) / (CUTTINGS * n.min(axis=1))
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        d = []
+    for b in (x.iloc[i : i + _ROWS] for x in batches for i in range(0, len(x), _ROWS)):
+        d, near = [], []
         for x, y in zip(b["words_a"], b["words_b"], strict=True):
             x, y = x.split(" "), y.split(" ")
-            d.append(within(x, y, int(EDIT_SHARE * max(len(x), len(y)))))
+            most, longer = int(EDIT_SHARE * max(len(x), len(y))), max(len(x), len(y))
+            # words that the other record lacks are edits, wherever they stand
+            d.append(within(x, y, most) if longer - (Counter(x) & Counter(y)).total() <= most else None)
+            if d[-1] is not None:
+                near.append((x, y))
         b = b.assign(distance=pd.array(d, dtype="Int64"))
         b = b[b["distance"].notna()]
-        yield pd.DataFrame({"a": b["a"], "b": b["b"], "distance": b["distance"].astype(np.int32), "overlap": b["overlap"]})
+        yield pd.DataFrame({"a": b["a"], "b": b["b"], "distance": b["distance"].astype(np.int32), "overlap": _overlaps([x for x, _ in near], [y for _, y in near])})
 
 
 def classes(records: DataFrame, id_col: str = "example_id", split_col: str = "split", text_col: str = "text", source_col: str = "corpus") -> tuple[DataFrame, DataFrame]:
@@ -141,16 +211,18 @@ def classes(records: DataFrame, id_col: str = "example_id", split_col: str = "sp
 
 def near_classes(reps: DataFrame) -> DataFrame:
     """Pairs of different classes, ``a`` with train and ``b`` with held-out members, with distance and overlap."""
-    digests = lambda side: reps.where(f"{side} = 1").select("cls", "words", "n").mapInPandas(_digests, "digest long, place int, length int, n int, cls string")
+    hot, count = _hot(reps)
+    digests = lambda side: reps.where(f"{side} = 1").select("cls", "words", "n").mapInPandas(partial(_digests, hot=hot, count=count), "digest long, n int, cls string")
     a = digests("train").withColumnsRenamed({"n": "n_a", "cls": "a"})
-    b = digests("held").select("digest", F.col("place").alias("place_b"), F.col("n").alias("n_b"), F.col("cls").alias("b"))
-    # what is too far apart in length or place cannot be within the edits
-    most = F.floor(F.greatest("n_a", "n_b") * EDIT_SHARE)
+    b = digests("held").withColumnsRenamed({"n": "n_b", "cls": "b"})
+    # what is too far apart in length cannot be within the edits
     pairs = (
         a.join(b, "digest")
-        .where((F.col("a") != F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most) & (F.abs(F.col("place") - F.col("place_b")) <= most))
+        .where((F.col("a") != F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= F.floor(F.greatest("n_a", "n_b") * EDIT_SHARE)))
         .groupBy("a", "b")
-        .agg((F.sum("length") / (CUTTINGS * F.least(F.first("n_a"), F.first("n_b")))).alias("overlap"))
+        .agg(F.count(F.lit(1)).alias("common"))
+        .where(F.col("common") >= COMMON)
+        .select("a", "b")
     )
     texts = reps.select("cls", "words")
     return (

@@ -173,3 +173,37 @@ def test_repetition(spark):
     assert got[502]["repetitive"] and got[504]["repetitive"] and not got[503]["repetitive"] and got[500]["share"] == 0.0
     assert repetition.repetition(df.limit(0)).count() == 0
     assert repetition.repetition(df.where("pred_id = 502")).first()["repetitive"]
+
+
+def test_evenly_spread_edits(spark):
+    r = random.Random(7)
+    rows, want = [], set()
+    for step in (4, 5):
+        for n in (24, 40, 60, 80, 120, 200):
+            for k in range(4):
+                w = [f"w{r.getrandbits(40)}x" for _ in range(n)]
+                e = [f"e{r.getrandbits(40)}x" if i % step == step - 1 else x for i, x in enumerate(w)]
+                a, b = f"{step}-{n}-{k}-a", f"{step}-{n}-{k}-b"
+                rows += [(a, "train", "x", " ".join(w)), (b, "test", "x", " ".join(e))]
+                want.add((a, b))
+    df = spark.createDataFrame(rows, "example_id string, split string, corpus string, text string")
+    assert {(x["id_a"], x["id_b"]) for x in overlap.cross_split_pairs(df).collect()} == want
+
+
+def test_runs_of_all_pairs():
+    r = random.Random(8)
+    hot = count = None
+    for t in range(3_000):
+        a = r.choices(["ha", "ja", "no", *[f"w{i}" for i in range(r.choice([2, 30, 500]))]], k=r.randint(20, 90))
+        b, most = list(a), len(a) // 4
+        for _ in range(most):
+            i = r.randrange(len(b))
+            b[i : i + 1] = r.choice([[], ["new"], [r.choice(a)], [b[i], "more"]])
+        if len(b) < overlap.LEAST_WORDS or overlap.within(a, b, max(len(a), len(b)) // 4) is None:
+            continue
+        if t % 2:
+            # any order of rarity is right
+            digest = np.unique(overlap.run_digests([a])[1].view(np.uint64))
+            hot, count = digest, np.array([r.randint(1, 9) for _ in digest])
+        owner, digest = overlap.run_digests([a, b], hot, count)
+        assert len(set(digest[owner == 0]) & set(digest[owner == 1])) >= overlap.COMMON
