@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
+from .spellings import PAIRS
+
 # Fillers of the lexical scorer and of the intended-text rules.
 FILLERS_WIDE = "ah eh er erm hm hmm hmmm mhm mm mmm mmmm mm-hm mm-hmm uh uh-huh uhh uhm um umm".split()
 # Fillers and nasal variants of the canonical scorer.
@@ -33,6 +34,8 @@ cr councilor
 councillor councilor
 acknowledgement acknowledgment
 acknowledgements acknowledgments
+behaviour behavior
+behaviours behaviors
 cancelled canceled
 cancelling canceling
 catalogue catalog
@@ -45,24 +48,50 @@ centred centered
 centring centering
 cheque check
 cheques checks
+colour color
+colours colors
+coloured colored
+colouring coloring
 defence defense
 defences defenses
 enrol enroll
 enrols enrolls
 enrolment enrollment
 enrolments enrollments
+favour favor
+favours favors
+favoured favored
+favouring favoring
+favourite favorite
+favourites favorites
+flavour flavor
+flavours flavors
 fulfil fulfill
 fulfils fulfills
 fulfilment fulfillment
 grey gray
+honour honor
+honours honors
+honoured honored
+honouring honoring
+honourable honorable
+humour humor
 kerb curb
 kerbs curbs
+labour labor
+labours labors
+laboured labored
+labouring laboring
 licence license
 licences licenses
 litre liter
 litres liters
 metre meter
 metres meters
+neighbour neighbor
+neighbours neighbors
+neighbourhood neighborhood
+neighbourhoods neighborhoods
 offence offense
 offences offenses
 practise practice
@@ -85,25 +114,10 @@ tyres tires
 # Families of -ise verbs whose spelling alone differs.
 ISE_ROOTS = "author categor central character civil colon commercial computer critic emphas final formal general hospital legal local maxim minim modern normal organ priorit public real recogn special standard summar visual".split()
 ISE_ENDINGS = "isations isation isers iser ising ised ises ise".split()
-# Regional vocabulary or pronunciation, not spelling: stays apart.
+# Regional vocabulary or pronunciation, not spelling; stays apart.
 NOT_SPELLING = "aeroplane airplane bougie bogie louth loth mum mom rolland roland titbit tidbit titbits tidbits".split()
-
-# Stems of the regional spelling rules; each stands for its whole family of forms.
-OUR = "arb ard arm behavi cand clam col demean end fav ferv flav glam harb hon hum lab neighb od parl ranc rig rum sav splend succ tum val vap vig".split()
-DOUBLED_L = "barrel cancel channel chisel counsel dial duel equal fuel funnel grovel initial jewel label level libel marshal marvel model panel pedal pencil quarrel refuel rival shovel shrivel signal snivel spiral swivel total towel travel tunnel unravel".split()
-LYSE = "ana cata dia hydro para".split()
-RE_ENDING = "calib cent fib goit lit lust manoeuv meag met mit nit och reconnoit sab scept sepulch somb spect theat".split()
-AE = [("anaem", "anem"), ("anaesth", "anesth"), ("paediatr", "pediatr"), ("haem", "hem"), ("leukaem", "leukem"), ("gynaec", "gynec"), ("orthopaed", "orthoped"), ("encyclopaed", "encycloped"), ("caesar", "cesar"), ("oesoph", "esoph"), ("oestr", "estr"), ("diarrhoea", "diarrhea"), ("manoeuv", "maneuv"), ("foet", "fet"), ("palaeo", "paleo"), ("archaeolog", "archeolog")]
-OGUE = "anal catal dial epil monol prol travel".split()
-OTHER = [("aluminium", "aluminum"), ("mould", "mold"), ("plough", "plow"), ("jeweller", "jeweler"), ("jewellery", "jewelry"), ("councillor", "councilor"), ("counsellor", "counselor"), ("fulfilment", "fulfillment"), ("instalment", "installment"), ("skilful", "skillful"), ("wilful", "willful"), ("sceptic", "skeptic"), ("moustache", "mustache"), ("pyjama", "pajama"), ("storey", "story"), ("draught", "draft"), ("smoulder", "smolder"), ("moult", "molt"), ("mollusc", "mollusk"), ("sulph", "sulf"), ("woollen", "woolen"), ("marvellous", "marvelous"), ("cosy", "cozy"), ("axe", "ax")]
-
-_RULES = [
-    *[(re.compile(rf"^(dis|mis|un)?({'|'.join(OUR)})our(?=$|s$|ed$|ing$|ings$|er$|ers$|able$|ably$|ite$|ites$|ful$|less$|hood$|hoods$|ly$|al$|ally$)"), r"\1\2or")],
-    *[(re.compile(rf"^(re|mis|un)?({'|'.join(DOUBLED_L)})l(ed|ing|ings|er|ers)$"), r"\1\2\3")],
-    (re.compile(rf"^({'|'.join(LYSE)})lys(e|ed|es|er|ers|ing)$"), r"\1lyz\2"),
-    (re.compile(rf"^((?:centi|kilo|milli|amphi)?)({'|'.join(RE_ENDING)})re(s|d)?$"), lambda m: f"{m[1]}{m[2]}er" + {None: "", "s": "s", "d": "ed"}[m[3]]),
-    (re.compile(rf"^({'|'.join(OGUE)})ogue(s|d)?$"), lambda m: f"{m[1]}og" + {None: "", "s": "s", "d": "ed"}[m[2]]),
-]
+# Regional spellings with their common form, those that stay apart left out.
+SPELLINGS = {a: b for a, b in map(str.split, PAIRS.strip().split("\n")) if a not in NOT_SPELLING and b not in NOT_SPELLING}
 
 
 def ise_form(word: str) -> str:
@@ -116,23 +130,6 @@ def ise_form(word: str) -> str:
     return word
 
 
-def regional_form(word: str) -> str:
-    """A regional spelling in its one form, by rules over families of words."""
-    if word in NOT_SPELLING:
-        return word
-    for pattern, to in _RULES:
-        new, n = pattern.subn(to, word)
-        if n:
-            return new
-    for a, b in AE:
-        if a in word:
-            return word.replace(a, b)
-    for a, b in sorted(OTHER, key=lambda p: -len(p[0])):
-        if word == a or (word.startswith(a) and word[len(a) :] in ("s", "es", "ed", "d", "ing", "ly", "y", "ism", "al", "ally", "er", "ers", "ur", "uric", "ate", "ide")):
-            return b + word[len(a) :]
-    return word
-
-
 @lru_cache(4)
 def spelling_table(path: str | None) -> dict[str, str]:
     """A further table of (regional, common) spellings, tab-separated; entries of ``NOT_SPELLING`` are left out."""
@@ -145,11 +142,10 @@ def spelling_table(path: str | None) -> dict[str, str]:
 
 @lru_cache(1 << 16)
 def canonical_word(word: str, table: str | None = None) -> str:
-    """One spelling of a folded lower-case word: conventions first, then the table, the rules and -ise."""
+    """One spelling of a folded lower-case word: conventions first, then the table given, the regional spellings and -ise."""
     if word in CANONICAL:
         return CANONICAL[word]
     extra = spelling_table(table)
     if word in extra:
         return extra[word]
-    new = regional_form(word)
-    return new if new != word else ise_form(word)
+    return SPELLINGS.get(word) or ise_form(word)
