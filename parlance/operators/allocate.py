@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ..runtime import checkpointed
 
 TARGETS = {"train": 0.70, "validation": 0.10, "test": 0.20}
-#: Components that one stratum's sequential allocation takes; the smaller rest goes by weighted hashing.
+#: Components of a stratum that are held in memory; larger strata are sorted on disk and read in batches.
 SEQUENTIAL = 200_000
 
 
@@ -35,29 +37,37 @@ def allocate(sizes: DataFrame, seed: str, targets: dict[str, float] | None = Non
 
     ``sizes`` has stratum, component, members (what the tie hash is taken of) and duration. Ties go by sha256
     of the seed, the stratum where it isn't empty, and the members.
-    A split's fill is its duration over max(1, total x target). The rule is sequential by nature: strata of up
-    to ``sequential`` components take it in one task each; larger strata go by weighted hashing, for which the
-    law of large numbers keeps the targets.
+    A split's fill is its duration over max(1, total x target). The rule is sequential by nature, one task per
+    stratum whatever its size. Strata of more than ``sequential`` components are sorted by Spark and read in batches.
     """
     targets = targets or TARGETS
     total = sizes.groupBy("stratum").agg(F.sum("duration").alias("total"))
     tied = sizes.join(total, "stratum").withColumn("tie", F.sha2(F.concat_ws(":", F.lit(seed), F.nullif("stratum", F.lit("")), "members"), 256))
     fill = sorted(targets)
-    hashed = F.array_max(F.array(*[F.struct((-F.lit(w) / F.log((F.pmod(F.xxhash64("tie", F.lit(s)), F.lit(1 << 40)) + 0.5) / float(1 << 40))).alias("v"), F.lit(s).alias("s")) for s, w in sorted(targets.items())]))["s"]
     cut = tied.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
     small = cut.where(F.col("_n") <= sequential).select("stratum")
     hashes = {s: F.sha2(F.concat_ws(":", "tie", F.lit(s)), 256).alias(f"h_{s}") for s in fill}
-    one_pass = tied.join(small, "stratum", "left_semi").select("stratum", "component", "duration", "total", "tie", *hashes.values())
+    held = tied.join(small, "stratum", "left_semi").select("stratum", "component", "duration", "total", "tie", *hashes.values())
+    schema = "stratum string, component string, duration double, split string"
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["duration", "tie"], ascending=[False, True], kind="stable")
-        used, out = dict.fromkeys(targets, 0.0), []
+    def step(rows: pd.DataFrame, used: dict[str, float]) -> pd.DataFrame:
+        out = []
         for r in rows.itertuples(index=False):
             s = min(targets, key=lambda t: (used[t] / max(1.0, r.total * targets[t]), getattr(r, f"h_{t}")))
             used[s] += r.duration
             out.append(s)
-        return pd.DataFrame({"stratum": rows["stratum"], "component": rows["component"], "duration": rows["duration"], "split": out})
+        return rows[["stratum", "component", "duration"]].assign(split=out)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return step(rows.sort_values(["duration", "tie"], ascending=[False, True], kind="stable"), dict.fromkeys(targets, 0.0))
+
+    def run_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stratum, used = None, {}
+        for b in batches:
+            for name, rows in b.groupby("stratum", sort=False):
+                if name != stratum:
+                    stratum, used = name, dict.fromkeys(targets, 0.0)
+                yield step(rows, used)
 
-    done = one_pass.groupBy("stratum").applyInPandas(run, "stratum string, component string, duration double, split string")
-    large = tied.join(small, "stratum", "left_anti")
-    return done.unionByName(large.select("stratum", "component", "duration", hashed.alias("split")))
+    large = tied.join(small, "stratum", "left_anti").repartition("stratum").sortWithinPartitions("stratum", F.desc("duration"), "tie").select("stratum", "component", "duration", "total", *hashes.values())
+    return held.groupBy("stratum").applyInPandas(run, schema).unionByName(large.mapInPandas(run_sorted, schema))

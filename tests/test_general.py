@@ -102,6 +102,20 @@ def test_components_and_allocation(spark):
     assert big.count() == 60 and big.where("split IS NULL").count() == 0
 
 
+def test_allocation_of_large_strata(spark):
+    """Strata beyond the limit follow the same rule; one component of the first holds a third of the duration."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        r = random.Random(4)
+        rows = [(s, f"{s}{i:02d}", f"{s}{i:02d}", 500.0 if s == "a" and i == 33 else float(r.randrange(1, 50))) for s in "abc" for i in range(40)]
+        sizes = spark.createDataFrame(rows, "stratum string, component string, members string, duration double").repartition(5)
+        for seed in ("seed", "other"):
+            small, large = (sorted(map(tuple, allocate.allocate(sizes, seed, sequential=n).collect())) for n in (1_000, 10))
+            assert large == small and len(small) == 120
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 CHAT = "@Begin\n@Participants:\tANN Ann Participant, BOB Bob Interviewer\n@ID:\teng|c|ANN|34;|female|||Participant||ITA|\n@Comment:\tnoisy\n*ANN:\twell um \x15100_900\x15 yes\n\tand then \x15900_1500\x15 lost\n%com:\tx\n\tnot a part\n*BOB:\t(.) \x15300_400\x15\n*BOB:\txx \x15500_700\x15\n"
 
 
