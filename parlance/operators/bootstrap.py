@@ -47,13 +47,15 @@ def paired_differences(rates: DataFrame, baseline: str, low: float = 0.025, high
     return d.groupBy("system").agg(F.percentile("d", low).alias("low"), F.percentile("d", high).alias("high"), F.avg((F.col("d") < 0).cast("double")).alias("better"))
 
 
-#: Clusters whose sums may come to the driver for draws of Python's generator.
-MOST_CLUSTERS = 100_000
+#: Clusters, and (system, cluster) sums, that may come to the driver for draws of Python's generator.
+MOST_CLUSTERS, MOST_SUMS = 100_000, 800_000
 
 
 def generator_rates(sums: DataFrame, replicates: int = 20_000, seed: int = 20260803) -> dict[str, np.ndarray]:
     """Replicate rates by system from ``random.Random(seed).choices`` over the sorted clusters, one draw per replicate."""
-    rows = sums.limit(MOST_CLUSTERS * 8 + 1).collect()
+    rows = sums.limit(MOST_SUMS + 1).collect()
+    if len(rows) > MOST_SUMS:
+        raise ValueError(f"more than {MOST_SUMS} sums of systems and clusters; use hashed_draws")
     clusters = sorted({r["cluster"] for r in rows})
     if len(clusters) > MOST_CLUSTERS:
         raise ValueError(f"more than {MOST_CLUSTERS} clusters; use hashed_draws")

@@ -510,7 +510,7 @@ def alignment_tiers(spark, d):
 
 @query()
 def bootstrap_generator(spark, d):
-    """Intervals from 2,000 draws of Python's generator, as one by one."""
+    """Intervals from 20,000 draws of Python's generator, as one by one."""
     video = bench(spark, d).select("blind_id", F.col("video_id").alias("cluster")).distinct()
-    rates = bootstrap.generator_rates(bootstrap.cluster_sums(_errors(spark, d).join(video, "blind_id")), replicates=2_000)
+    rates = bootstrap.generator_rates(bootstrap.cluster_sums(_errors(spark, d).join(video, "blind_id")))
     return spark.createDataFrame([(s, *map(float, np.nanpercentile(r, [2.5, 97.5]))) for s, r in rates.items()], "system string, low double, high double")

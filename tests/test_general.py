@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parlance.functions import parse
 from parlance.operators import allocate, blocks, bootstrap, loops, segment
 from parlance.plans import manifests as M
+from parlance.plans import queries
 from parlance.sources import readers, schemas, writers
 from parlance.streaming import units as stream
 
@@ -204,6 +205,20 @@ def test_loops(spark):
     assert (b["u"], b["p"], b["s"]) == ([9, 1, 2], [2, 50, 3], [9, 1, 8, 2, 50, 3])
 
 
+def test_generator_query_and_limit(spark, monkeypatch, tmp_path):
+    seen = []
+    monkeypatch.setattr(queries.bootstrap, "generator_rates", lambda sums, replicates=20_000, seed=20260803: seen.append((replicates, seed)) or {"a": np.arange(3.0)})
+    monkeypatch.setattr(queries, "_errors", lambda spark, d: spark.createDataFrame([(1, "a", 1, 2)], "blind_id int, system string, errors int, units int"))
+    monkeypatch.setattr(queries, "bench", lambda spark, d: spark.createDataFrame([(1, "v")], "blind_id int, video_id string"))
+    assert queries.bootstrap_generator(spark, str(tmp_path)).count() == 1 and seen == [(20_000, 20260803)]
+    monkeypatch.undo()
+    monkeypatch.setattr(bootstrap, "MOST_SUMS", 5, raising=False)
+    sums = spark.createDataFrame([(s, "c", 1, 2) for s in "abcdef"], "system string, cluster string, errors int, units int")
+    with pytest.raises(ValueError):
+        bootstrap.generator_rates(sums, 2)
+    assert set(bootstrap.generator_rates(sums.where("system <> 'f'"), 2)) == {*"abcde"}
+
+
 def test_bootstrap(spark):
     r = random.Random(4)
     rows = [(s, f"c{i % 7}", r.randrange(9), 10) for i in range(70) for s in "ab"]
