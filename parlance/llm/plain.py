@@ -19,11 +19,15 @@ _INSIDE = regex.compile(r"(?<=[\p{L}\p{M}\p{N}])['’:\-‐‑]+(?=\p{L})")
 _SPACELESS = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 _WORD = regex.compile(rf"(?V1)[{_SPACELESS}]\p{{M}}*|[[\p{{L}}\p{{M}}\p{{N}}]--[{_SPACELESS}]]+")
 _ASCII_WORD = re.compile("[a-z0-9]+")
+#: Words of texts without marks and spaceless scripts, for which this says the same and is quicker.
+_SIMPLE_WORD = re.compile(r"[^\W_]+")
+_NOT_SIMPLE = regex.compile(rf"[\p{{M}}{_SPACELESS}]")
+_MAY_NOTE = re.compile(r"[\[(<&*@]")
 
 
 def without_notes(text: str) -> str:
     """Sound notes replaced by a space, nested ones from the inside out."""
-    if not regex.search(r"[\[(<&*@]", text):
+    if not _MAY_NOTE.search(text):
         return text
     while True:
         text, n = NOTE.subn(" ", text)
@@ -41,7 +45,9 @@ def _words(text: str) -> list[str]:
     if "-" in text and "\n" in text:
         text = _LINE_END.sub("", text)
     text = _INSIDE.sub("", text)
-    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+    if text.isascii():
+        return _ASCII_WORD.findall(text)
+    return (_WORD if _NOT_SIMPLE.search(text) else _SIMPLE_WORD).findall(text)
 
 
 def words(text: str | None) -> list[str]:
