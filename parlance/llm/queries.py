@@ -65,7 +65,7 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetition(table(ship(spark), d, "predictions")).where("repetitive").select("pred_id")
+    return repetition.repetition(table(ship(spark), d, "predictions"), shares=False).where("repetitive").select("pred_id")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -73,12 +73,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d).where("passage").select("doc_id", "blind_id")
+
+
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(ship(spark), d, "documents"), table(spark, d, "bench_items"))
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
-    """The leaked items, with the number of documents each is in."""
-    return p9_found(spark, d).groupBy("blind_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    """The leaked items, with the number of documents each is in, and in as a whole or slightly edited."""
+    return _leaked(spark, d).groupBy("blind_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("whole") > 0).alias("n_whole"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
