@@ -6,10 +6,10 @@ import numpy as np
 
 
 class Boosted:
-    """Logistic loss, trees of depth two, exact splits. Deterministic for the same rows in the same order."""
+    """Logistic loss, trees of small depth, exact splits. Deterministic for the same rows in the same order."""
 
-    def __init__(self, rounds: int = 40, rate: float = 0.4, least: int = 4):
-        self.rounds, self.rate, self.least = rounds, rate, least
+    def __init__(self, rounds: int = 40, rate: float = 0.4, least: int = 4, depth: int = 2):
+        self.rounds, self.rate, self.least, self.depth = rounds, rate, least, depth
         self.base, self.trees = 0.0, []
 
     def _best(self, x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float] | None:
@@ -41,7 +41,7 @@ class Boosted:
         score = np.full(len(y), self.base)
         for _ in range(self.rounds if len(y) else 0):
             p = 1 / (1 + np.exp(-score))
-            tree = self._grow(x, y - p, p * (1 - p), 2)
+            tree = self._grow(x, y - p, p * (1 - p), self.depth)
             self.trees.append(tree)
             score += self._apply(tree, x)
         return self
