@@ -118,6 +118,7 @@ _WORD_REST = regex.compile(r"[\p{N}_]")
 _LETTERED = regex.compile(r"(?:\p{Cyrillic}|\p{Greek})")
 _LATIN = regex.compile(r"\p{Latin}")
 _MARKED = regex.compile(r"\p{M}")
+_OF_SCRIPT = {s: regex.compile(rf"\p{{{s}}}") for s in SCRIPTS}
 #: What can make a text a case at all, in Java's syntax: most texts never reach Python.
 PLAIN = r"^\p{ASCII}*$"
 
@@ -132,7 +133,7 @@ def _dominant(text: str) -> str | None:
     """The script of most letters among those that have look-alikes in each other, else None."""
     n = Counter()
     for s in SCRIPTS:
-        n[s] = len(regex.findall(rf"\p{{{s}}}", text))
+        n[s] = len(_OF_SCRIPT[s].findall(text))
     best, count = n.most_common(1)[0]
     return best if count else None
 
@@ -157,7 +158,7 @@ def _target(token: str, text_script: str | None, alone: bool) -> str | None:
 
 def _respell(text: str) -> tuple[str, bool]:
     """Tokens of confusable letters in the script they belong to; whether there was one."""
-    if not (_LETTERED.search(text) and (_LATIN.search(text) or len({s for s in SCRIPTS if regex.search(rf"\p{{{s}}}", text)}) > 1)):
+    if not (_LETTERED.search(text) and (_LATIN.search(text) or sum(p.search(text) is not None for p in _OF_SCRIPT.values()) > 1)):
         return text, False
     script, out, at, hit = _dominant(text), [], 0, False
     for m in _TOKEN.finditer(text):

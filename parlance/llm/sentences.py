@@ -8,6 +8,9 @@ a lattice of dictionary words, and the gaps between sentences are told by final
 
 from __future__ import annotations
 
+import base64
+import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +23,7 @@ from .chars import INVISIBLE, consistent
 # Titles and other abbreviations that a name, number or further words follow.
 BEFORE_NAMES = """
 mr mrs ms mx dr prof cr sr jr st rev hon sen rep gen col capt lt sgt cpl fr pres gov supt messrs mme mlle mgr
+adm cmdr maj brig pvt insp det ald amb msgr bros treas atty esq mt ft ave blvd rd dept univ assn
 no nos nr num fig figs vol ch sec art p pp para eq ed eds trans approx ca circa est env cf vs viz al resp incl excl
 abb bd bzw bspw evtl ggf inkl jh kap max min mind s str tel u usf vgl z zb zz frl hr hrn
 ex art chap tél av bd éd
@@ -40,23 +44,35 @@ OPENERS = "“«‘「『„‚‹\"([（【《〈"
 # Words that go on after a quotation in scripts without capitals.
 GOES_ON = "と って という といった 然后 说 道 问 他说 她说 答 هكذا قال قالت قالوا وقال وقالت ऐसा कहा बोला बोली पूछा उसने यह".split()
 # Words of scripts without spaces, as dictionary of their lattices.
-FINAL_WORDS = "です ます でした ました た だ ね よ か ない 了 吗 呢 吧 啊 的 过 着".split()
+FINAL_WORDS = "です ます でした ました た だ った んだ した いた きた えた けた せた てた べた めた れた ね よ か ない 了 吗 呢 吧 啊 的 过 着".split()
+PARTICLES = "了吗呢吧啊"
 OPENING_WORDS = "そのあと 昨日 今日 明日 そして しかし また 次に 后来 昨天 今天 明天 他 她 我 我们 他们 但是 不过 那天".split()
-LONGEST_WORD = max(map(len, FINAL_WORDS + OPENING_WORDS + GOES_ON))
-_DICTIONARY = frozenset(FINAL_WORDS + OPENING_WORDS + GOES_ON)
+# Polite endings, after which an opening word begins a sentence even without a gap.
+POLITE_ENDINGS = "でした ました です ます".split()
+#: A public vocabulary, in ranked tokens, whose words of spaceless scripts are the lattices' dictionary.
+DEFAULT_WORDS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
 
 _BLANK = regex.compile(r"(?>\r\n|\n|\r)[^\S\n\r]*(?:(?>\r\n|\n|\r)[^\S\n\r]*)+")
 _LINE = regex.compile(r"[^\n\r]+")
 _BREAK = regex.compile(r"\s*[\n\r]\s*")
 _ITEM = regex.compile(r"(?:\(?(\d{1,3})[.)]|[•‣▪*\-–—])[^\S\n\r]+(?=\S)")
 _LABEL = regex.compile(r"(?:\p{Lu}\p{L}{0,4}\.[^\S\n\r]+)?\p{Lu}[\p{L}\p{M}\p{N}'’\-]*(?:[^\S\n\r]+\p{Lu}[\p{L}\p{M}'’\-]*)?[^\S\n\r]*:(?=\s)")
-_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}._'’\-]+$")
 _WORDLIKE = regex.compile(r"[\p{L}\p{N}\p{So}\p{Sk}]")
 _THAI = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-_MARKS = regex.compile(r"[.．…!?‼⁇⁈⁉！？。｡।॥؟۔።။;\u037e]")
+_MARKS = re.compile(r"[.．…!?‼⁇⁈⁉！？。｡।॥؟۔።။;\u037e]")
 _GREEK = regex.compile(r"\p{Greek}")
-_OPENING = regex.compile(r"[“«‘「『„‚‹\"(\[（【《〈<{]")
+_OPENING = re.compile(r"[“«‘「『„‚‹\"(\[（【《〈<{]")
+_SPACELESS_RUN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{M}]+")
+_SPACELESS_GAP = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー])\s+(?=[\p{Han}\p{Hiragana}\p{Katakana}])")
+_SPACELESS_BEFORE = regex.compile(r"(?r)[\p{Han}\p{Hiragana}\p{Katakana}ー]+")
+_POLITE_GAP = regex.compile(rf"(?<={'|'.join(POLITE_ENDINGS)})(?={'|'.join(OPENING_WORDS)})")
+_LETTERS = regex.compile(rf"[\p{{L}}\p{{M}}{INVISIBLE}]+")
+_MARK = regex.compile(r"\p{M}")
+_ONE_OR_TWO_DIGITS = re.compile(r"\d{1,2}")
+_NUMBERED = re.compile(r"(?m)^\s*\(?(\d{1,3})[.)]\s")
+_NEXT_NUMBERED = re.compile(r"\s*[\n\r]\s*(?=\(?(\d{1,3})[.)]\s)")
 _SPACE = regex.compile(r"\s+")
 _ABBREVIATED = frozenset(BEFORE_NAMES)
 _CLOSING = frozenset(MAY_CLOSE)
@@ -88,14 +104,35 @@ def protected(block: str) -> list[tuple[int, int]]:
     return out
 
 
-def word_lattice(text: str) -> list[str]:
-    """The best reading of spaceless text as dictionary words: the fewest characters left outside of words, then the fewest words."""
-    best: list[tuple[int, int, int]] = [(0, 0, 0)]
+@lru_cache(4)
+def dictionary(path: str | None = DEFAULT_WORDS) -> dict[str, float]:
+    """Words of spaceless scripts with their costs: those of a ranked vocabulary, the commoner the cheaper, and the words above."""
+    costs: dict[str, float] = {}
+    if path:
+        with open(path, "rb") as f:
+            for line in f:
+                token, rank = line.split()
+                word = base64.b64decode(token).decode("utf-8", "ignore").strip()
+                if len(word) > 1 and _SPACELESS_RUN.fullmatch(word):
+                    costs.setdefault(word, 2 + math.log(1 + int(rank)))
+    return costs | dict.fromkeys(FINAL_WORDS + OPENING_WORDS + GOES_ON, 4.0)
+
+
+#: Cost of a character that no word of the dictionary covers.
+UNKNOWN = 9.0
+
+
+def word_lattice(text: str, words: dict[str, float] | None = None) -> list[str]:
+    """The cheapest reading of spaceless text as dictionary words and single characters; of equal ones the fewest words."""
+    words = dictionary(None) if words is None else words
+    longest = max(map(len, words), default=1)
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
     for i in range(1, len(text) + 1):
-        options = [(best[i - 1][0] + 1, best[i - 1][1] + 1, i - 1)]
-        for n in range(1, min(i, LONGEST_WORD) + 1):
-            if text[i - n : i] in _DICTIONARY:
-                options.append((best[i - n][0], best[i - n][1] + 1, i - n))
+        options = [(best[i - 1][0] + UNKNOWN, best[i - 1][1] + 1, i - 1)]
+        for n in range(1, min(i, longest) + 1):
+            cost = words.get(text[i - n : i])
+            if cost is not None:
+                options.append((best[i - n][0] + cost, best[i - n][1] + 1, i - n))
         best.append(min(options))
     out, i = [], len(text)
     while i:
@@ -104,6 +141,41 @@ def word_lattice(text: str) -> list[str]:
     return out[::-1]
 
 
+@lru_cache(1 << 14)
+def _last_word(run: str) -> str:
+    return word_lattice(run, _words())[-1]
+
+
+@lru_cache(1 << 14)
+def _first_word(run: str) -> str:
+    return word_lattice(run, _words())[0]
+
+
+_WORDS: dict[str, dict[str, float]] = {}
+
+
+def _words() -> dict[str, float]:
+    """The dictionary that the driver has read, else the words above."""
+    return _WORDS.get("now") or dictionary(None)
+
+
+def use_words(words: dict[str, float] | None) -> None:
+    """The dictionary that lattices read from now on in this process."""
+    if words is not None and _WORDS.get("now") != words:
+        _WORDS["now"] = words
+        _last_word.cache_clear()
+        _first_word.cache_clear()
+
+
+def _gap_ends(block: str, a: int, b: int) -> bool:
+    """A gap between spaceless words ends a sentence: a final particle before it, an opening word after it."""
+    before, after = _SPACELESS_BEFORE.search(block, 0, a), _SPACELESS_RUN.match(block, b)
+    if not before or before.end() != a or not after:
+        return False
+    last = _last_word(before.group())
+    return (last in FINAL_WORDS or last[-1] in PARTICLES) and _first_word(after.group()) in OPENING_WORDS
+
+
 def _next(block: str, i: int) -> tuple[int, str, bool]:
     """(place, character, space before) of what follows, past white space, invisible characters and opening marks."""
     j, space = i, False
@@ -128,14 +200,25 @@ def _shape(word: str) -> str:
     last = low.rpartition(".")[2]
     if low in _ABBREVIATED or last in _ABBREVIATED or low.replace(".", "") in _ABBREVIATED:
         return "title"
-    if regex.fullmatch(r"\d{1,2}", w):
+    if _ONE_OR_TWO_DIGITS.fullmatch(w):
         return "number"
-    letters = regex.sub(r"[\p{M}]", "", last)
+    letters = last if last.isascii() else _MARK.sub("", last)
     if len(letters) == 1 and letters.isalpha():
         return "initial"
     return "word"
 
 
+def _word_before(block: str, a: int) -> str:
+    """The word that ends at ``a``, invisible signs aside."""
+    e = a
+    while e and block[e - 1] in INVISIBLE:
+        e -= 1
+    k = e
+    while k and ((c := block[k - 1]).isalnum() or c in "._'’-" or (c > "\u00a0" and (c in INVISIBLE or _MARK.match(c)))):
+        k -= 1
+    return consistent(block[k:e])
+
+
 def _starts_line(block: str, j: int, item: int | None) -> bool:
     """A speaker label or a further item begins here, at the beginning of a line."""
     if j >= len(block):
@@ -158,9 +241,9 @@ def _weight(block: str, a: int, b: int, quoted: bool) -> float:
         if first.islower() or block[j] in ",;:，、；：":
             return -1.0
         if first.isalpha() and not first.isupper() and not opening:
-            follow = regex.match(r"[\p{L}\p{M}]+", consistent(block[j : j + 40]))
-            word = follow.group() if follow else ""
-            if word in GOES_ON or (word and _CJK.match(first) and word_lattice(word[:12])[0] in GOES_ON):
+            follow = _LETTERS.match(block, j)
+            word = consistent(follow.group()) if follow else ""
+            if word in GOES_ON or (word and _CJK.match(first) and _first_word(word) in GOES_ON):
                 return -1.0
         return 1.0
     if not space and (block[j] in ",;:)]-–—/%_@&" or first.isdigit()):
@@ -170,8 +253,7 @@ def _weight(block: str, a: int, b: int, quoted: bool) -> float:
         return -1.0 if not space and first.islower() else 1.0
     if not stop or len(marks) > 1:  # dots in a row
         return -1.0 if first.islower() or block[j] in ",;:" else 1.0
-    before = _BEFORE.search(consistent(block[max(0, a - 40) : a]).rstrip(INVISIBLE))
-    word = before.group() if before else ""
+    word = _word_before(block, a)
     shape = _shape(word)
     if not space and not opening:
         # a missing space: a capital, or a script without capitals on both sides
@@ -206,7 +288,7 @@ def terminator_lattice(block: str, item: int | None = None) -> list[tuple[int, f
     at = 0
     while m := _MARKS.search(block, at):
         a = m.start()
-        if inside[a] or (m.group() in QUESTION and not _GREEK.search(consistent(block[max(0, a - 3) : a]))):
+        if inside[a] or (m.group() in QUESTION and not _GREEK.search(_word_before(block, a))):
             at = a + 1
             continue
         b = a + 1
@@ -221,19 +303,23 @@ def terminator_lattice(block: str, item: int | None = None) -> list[tuple[int, f
             ended = e and (block[e - 1] in STRONG + STOPS + "…" or block[e - 1] in CLOSERS)
             if ended or item is not None or _LABEL.match(block, j):
                 nodes[e] = 1.0
+    if block.isascii():
+        return sorted(nodes.items())
     # scripts without spaces, where a mark may be missing
-    thai, cjk = len(_THAI.findall(block)), len(_CJK.findall(block))
-    if thai and thai * 2 > len(block.strip()) * 0.8:
+    if _THAI.search(block):
         for m in _SPACE.finditer(block):
             a, b = m.span()
-            if a and b < len(block) and not inside[a]:
+            if a and b < len(block) and not inside[a] and (_THAI.match(block[a - 1]) or _THAI.match(block[b])):
                 nodes[a] = -1.0 if block[a - 1].isdigit() or block[b].isdigit() else 1.0
-    elif cjk:
-        for m in _BREAK.finditer(block):
+    if _CJK.search(block):
+        for m in _SPACELESS_GAP.finditer(block):
             a, b = m.span()
-            if a and b < len(block) and not inside[a] and a not in nodes and _CJK.match(block[a - 1]) and _CJK.match(block[b]):
-                last, first = word_lattice(block[max(0, a - 12) : a])[-1], word_lattice(block[b : b + 12])[0]
-                nodes[a] = 1.0 if last in FINAL_WORDS and first in OPENING_WORDS else -1.0
+            if not inside[a] and a not in nodes:
+                nodes[a] = 1.0 if _gap_ends(block, a, b) else -1.0
+        for m in _POLITE_GAP.finditer(block):
+            a = m.start()
+            if not inside[a] and a not in nodes and _gap_ends(block, a, a):
+                nodes[a] = 1.0
     return sorted(nodes.items())
 
 
@@ -247,7 +333,7 @@ def best_path(block: str, nodes: list[tuple[int, float]]) -> list[int]:
     if not places:
         return [len(block)]
     points = [0, *places, len(block)]
-    wordy = [_WORDLIKE.search(block, a, b) is not None for a, b in zip(points, points[1:], strict=False)]
+    wordy = [block[a].isalnum() or _WORDLIKE.search(block, a, b) is not None for a, b in zip(points, points[1:], strict=False)]
     best, back = [0.0] + [float("-inf")] * (len(points) - 1), [0] * len(points)
     for j in range(1, len(points)):
         gain = weight.get(points[j], 0.0) if j < len(points) - 1 else 0.0
@@ -300,8 +386,8 @@ def sentences(text: str | None, kind: str | None = None) -> list[tuple[int, int]
             for e in best_path(block, _items(block, item)):
                 add(at + lead + since, at + lead + e)
                 since = e
-            numbers = [int(x.group(1)) for x in regex.finditer(r"(?m)^\s*\(?(\d{1,3})[.)]\s", block)]
-            item = numbers[-1] if numbers and item is not None else item
+            if item is not None and (numbers := _NUMBERED.findall(block)):
+                item = int(numbers[-1])
         at = m.end() if m else end
     return out
 
@@ -311,23 +397,26 @@ def _items(block: str, item: int | None) -> list[tuple[int, float]]:
     nodes = dict(terminator_lattice(block, item))
     if item is not None:
         now = item
-        for m in regex.finditer(r"\s*[\n\r]\s*(?=\(?(\d{1,3})[.)]\s)", block):
+        for m in _NEXT_NUMBERED.finditer(block):
             if int(m.group(1)) == now + 1:
                 nodes[m.start()] = 1.0
                 now += 1
     return sorted(nodes.items())
 
 
-def sentence_units(documents: DataFrame, with_text: bool = False) -> DataFrame:
+def sentence_units(documents: DataFrame, with_text: bool = False, words: str | None = DEFAULT_WORDS) -> DataFrame:
     """(doc_id, start_char, end_char[, sentence]) of every sentence of every document.
 
     Null, empty and blank texts and null ids give no rows; a null kind counts as running text. Ids are taken as
-    unique: a row that repeats gives its sentences again. Other columns are ignored.
+    unique: a row that repeats gives its sentences again. ``words`` is the path of a ranked vocabulary, read by
+    the driver, as dictionary of spaceless scripts; None leaves the few words fixed here. Other columns are ignored.
     """
+    costs = dictionary(words)
     kind = dict(documents.dtypes)["doc_id"]
     base = documents.select("doc_id", "text", "kind").where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_words(costs)
         for b in batches:
             out = [(i, a, e, t[a:e]) for i, t, k in zip(b["doc_id"], b["text"], b["kind"], strict=True) for a, e in sentences(t, k)]
             f = pd.DataFrame(out, columns=["doc_id", "start_char", "end_char", "sentence"])

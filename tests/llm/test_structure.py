@@ -169,6 +169,12 @@ def test_tokens(spark):
         ("यह डॉ. वरेला है। “हाँ। ना?” ऐसा उसने कहा।", ["यह डॉ. वरेला है।", "“हाँ। ना?” ऐसा उसने कहा।"]),
         ("مع د. فريلان؛ ثم عادوا. «نعم. لا؟» هكذا قالت.", ["مع د. فريلان؛ ثم عادوا.", "«نعم. لا؟» هكذا قالت."]),
         ("กลุ่มฟัง 56.5 คน เขาไป\n\nเรามา", ["กลุ่มฟัง 56.5 คน", "เขาไป", "เรามา"]),
+        ("先生が来た 昨日わたしたちは聞いた", ["先生が来た", "昨日わたしたちは聞いた"]),
+        ("橋を見ました昨日わたしたちは聞いた", ["橋を見ました", "昨日わたしたちは聞いた"]),
+        ("他走了 后来他们回家", ["他走了", "后来他们回家"]),
+        ("我喜欢这个 他们的书", ["我喜欢这个 他们的书"]),
+        ("He said สวัสดี ครับ to them", ["He said", "สวัสดี", "ครับ", "to them"]),
+        ("Adm. Jones met Maj. Po. He left.", ["Adm. Jones met Maj. Po.", "He left."]),
         ("one\r\ntwo. Three\r\n\r\nfour", ["one\r\ntwo.", "Three", "four"]),
         ("(He said so. Yes.) Then [a. B] it (approx. 3.5 m) ended", ["(He said so. Yes.) Then [a. B] it (approx. 3.5 m) ended"]),
         ("…", ["…"]),
@@ -201,4 +207,16 @@ def test_sentences_cover(spark):
 def test_word_lattice():
     assert sentences.word_lattice("橋を見ました")[-1] == "ました"
     assert sentences.word_lattice("昨天我们") == ["昨天", "我们"]
+    # a public vocabulary reads あなた as a word that ends in no particle
+    words = sentences.dictionary()
+    assert len(words) > 1_000 and sentences.word_lattice("ここにいるのはあなた", words)[-1] == "あなた" != sentences.word_lattice("ここにいるのはあなた")[-1]
+    try:
+        sentences.use_words(words)
+        assert len(sentences.sentences("ここにいるのはあなた 昨日の話")) == 1
+        sentences.use_words(sentences.dictionary(None))
+        assert len(sentences.sentences("ここにいるのはあなた 昨日の話")) == 2
+    finally:
+        sentences._WORDS.clear()
+        sentences._last_word.cache_clear()
+        sentences._first_word.cache_clear()
     assert sentences.word_lattice("") == []
