@@ -147,7 +147,7 @@ def test_tokens(spark):
     with pytest.MonkeyPatch.context() as m:
         # without the windows around the joins, the halves' own tokens stay
         m.setattr(tokens, "join_texts", lambda enc, text, at, left, right, leaf, reach: left + right)
-        assert tokens.encode(enc, "antidisestablishmentarianism" * 200) != enc.encode_ordinary("antidisestablishmentarianism" * 200)
+        assert tokens.encode(enc, "antidisestablishmentarianism" * 201) != enc.encode_ordinary("antidisestablishmentarianism" * 201)
     texts = ["", None, " ", "<|endoftext|> it's", "a" * 30_000 + " b", "字" * 9_000, "don't " * 900, "\r\n\n  x　y" * 500]
     df = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(texts)], "doc_id long, text string, ids array<int>")
     got = {x["doc_id"]: x["ids"] for x in tokens.encode_corpus(df).collect()}
