@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT_MS, OVERLAP_MS = 27_500, 1_000
-#: Length of the time bins that clips and units meet in, and the longest unit taken for real.
-BIN_MS, LONGEST_UNIT_MS = 30_000, 120_000
+#: Least time by which a piece at a boundary goes on beyond the overlap with the piece before it.
+ADVANCE_MS = 1_000
+#: Length of the shortest time bins that clips and units meet in; each level's bins are four times as long. A unit
+#: is put at the level whose bins are as long as itself, so it meets a clip of any length in few bins.
+BIN_MS, LEVELS = 30_000, 16
 
 
 def boundaries(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -29,17 +32,18 @@ def boundaries(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return e[np.append(s[1:] >= e[:-1], True)]
 
 
-def cut(start: int, end: int, cuts, limit: int = LIMIT_MS, overlap: int = OVERLAP_MS) -> list[tuple[int, int, str]]:
+def cut(start: int, end: int, cuts, limit: int = LIMIT_MS, overlap: int = OVERLAP_MS, advance: int = ADVANCE_MS) -> list[tuple[int, int, str]]:
     """(start, end, how it ends) of the pieces of one clip: 'boundary', 'hard' or 'end'.
 
-    No piece is longer than ``limit``; each begins ``overlap`` before the one before it ends.
+    No piece is longer than ``limit``; each begins ``overlap`` before the one before it ends. A boundary counts
+    from ``overlap`` + ``advance`` after the piece's start.
     """
-    if not 0 <= overlap < limit:
-        raise ValueError("overlap must be at least 0 and less than the limit")
+    if not 0 <= overlap < limit or advance < 0 or overlap + advance > limit:
+        raise ValueError("overlap must be at least 0 and less than the limit, with room to advance")
     out = []
     while end - start > limit:
         i = bisect_right(cuts, start + limit) - 1
-        at, how = (int(cuts[i]), "boundary") if i >= 0 and cuts[i] > start + overlap else (start + limit, "hard")
+        at, how = (int(cuts[i]), "boundary") if i >= 0 and cuts[i] > start + overlap and cuts[i] >= start + overlap + advance else (start + limit, "hard")
         out.append((start, at, how))
         start = at - overlap
     out.append((start, end, "end"))
@@ -76,18 +80,21 @@ def oversized_pieces(chunks: DataFrame, units: DataFrame, limit_ms: int = LIMIT_
     """(example_id, piece, start_ms, end_ms, cut, text) of every chunk longer than the limit.
 
     Chunks without any length or id, and those within the limit, give no rows; repeated rows count once per
-    example_id. A chunk without start and end is placed at 0. Units without start or end, with end not after
-    start or longer than ``LONGEST_UNIT_MS`` leave no boundaries; without units all cuts are hard. Null text
-    gives empty text. Other columns are ignored.
+    example_id. A chunk without start and end is placed at 0. Units without start or end and with end not after
+    start leave no boundaries; without units all cuts are hard. Null text gives empty text. Other columns are
+    ignored. The units of one clip meet in one row: their number is bounded by the clip's own length.
     """
     over = clip_times(chunks.select("example_id", "recording", "start", "end", "duration", "text")).where(f"example_id IS NOT NULL AND length_ms > {int(limit_ms)}").dropDuplicates(["example_id"]).select("example_id", F.upper(F.trim("recording")).alias("_rec"), "start_ms", "end_ms", "text")
-    bins = lambda a, b: F.explode(F.expr(f"sequence(cast(floor({a} / {BIN_MS}) AS bigint), cast(floor({b} / {BIN_MS}) AS bigint))"))
+    size = f"({BIN_MS} * power(4, _level))"
+    bins = lambda a, b: F.explode(F.expr(f"sequence(cast(floor({a} / {size}) AS bigint), cast(floor({b} / {size}) AS bigint))"))
     real = (
         units.select(F.upper(F.trim("recording")).alias("_rec"), F.expr("cast(round(`start` * 1000) AS bigint)").alias("_s"), F.expr("cast(round(`end` * 1000) AS bigint)").alias("_e"), F.expr("size(filter(split(text, '\\\\s+'), x -> x <> ''))").alias("_n"))
-        .where(f"_e > _s AND _e - _s <= {LONGEST_UNIT_MS}")
-        .select("_rec", "_s", "_e", F.greatest("_n", F.lit(0)).alias("_n"), bins("_s", "_e").alias("_bin"))
+        .where("_e > _s")
+        .withColumn("_level", F.expr(f"cast(least({LEVELS - 1}, greatest(0, ceil(log(4, (_e - _s) / {BIN_MS})))) AS int)"))
+        .select("_rec", "_s", "_e", F.greatest("_n", F.lit(0)).alias("_n"), "_level", bins("_s", "_e").alias("_bin"))
     )
-    met = over.select("example_id", "_rec", F.col("start_ms").alias("_a"), F.col("end_ms").alias("_b"), bins("start_ms", "end_ms").alias("_bin")).join(real, ["_rec", "_bin"]).where("_s < _b AND _e > _a").groupBy("example_id").agg(F.collect_set(F.struct("_s", "_e", "_n")).alias("units"))
+    asked = over.select("example_id", "_rec", F.col("start_ms").alias("_a"), F.col("end_ms").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level"))
+    met = asked.select("*", bins("_a", "_b").alias("_bin")).join(real, ["_rec", "_level", "_bin"]).where("_s < _b AND _e > _a").groupBy("example_id").agg(F.collect_set(F.struct("_s", "_e", "_n")).alias("units"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

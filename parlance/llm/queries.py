@@ -23,13 +23,19 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return chars.affected_values(_values(ship(spark), d)).select("src", "field", F.explode("kinds").alias("kind")).groupBy("src", "field", "kind").agg(F.count(F.lit(1)).alias("n_values"))
 
 
-def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+def p2_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every oversized chunk with their texts."""
     ship(spark)
     return pieces.oversized_pieces(table(spark, d, "chunks"), table(spark, d, "units"))
 
 
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every oversized chunk: bounds, and whether they end at a boundary."""
+    return p2_texts(spark, d).select("example_id", "piece", "start_ms", "end_ms", "cut")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_pieces(spark, d).where("piece = 0").select("example_id")
+    return p2_texts(spark, d).where("piece = 0").select("example_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -89,12 +95,31 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(ship(spark), d, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_kinds, p2_found, p2_pieces, p3_found, p3_report, p3_classes, p4_found, p4_splits, p5_found, p5_turns, p6_found, p6_shares, p8_ids, p9_found, p9_items, p10_found)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_kinds, p2_found, p2_pieces, p2_texts, p3_found, p3_report, p3_classes, p4_found, p4_splits, p5_found, p5_turns, p6_found, p6_shares, p8_ids, p9_found, p9_items, p10_found)}
 
 SQL = {
     "p2_found": """
 SELECT DISTINCT example_id FROM chunks
 WHERE coalesce(round("end" * 1000) - round("start" * 1000), round(CASE WHEN duration > 1000 THEN duration ELSE duration * 1000 END)) > 27500""",
+    "p2_pieces": """
+WITH RECURSIVE clips AS (
+  SELECT example_id, upper(trim(recording)) AS rec, CAST(round("start" * 1000) AS BIGINT) AS a0, CAST(round("end" * 1000) AS BIGINT) AS b0,
+    CAST(round(CASE WHEN duration > 1000 THEN duration ELSE duration * 1000 END) AS BIGINT) AS d FROM chunks WHERE example_id IS NOT NULL),
+over AS (
+  SELECT DISTINCT example_id, rec, coalesce(a0, b0 - d, 0) AS a, coalesce(a0, b0 - d, 0) + coalesce(b0 - a0, d) AS b FROM clips WHERE coalesce(b0 - a0, d) > 27500),
+u AS (SELECT DISTINCT upper(trim(recording)) AS rec, CAST(round("start" * 1000) AS BIGINT) AS s, CAST(round("end" * 1000) AS BIGINT) AS e FROM units),
+m AS (
+  SELECT example_id, a, b, max(e) OVER (PARTITION BY example_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bd, lead(s) OVER (PARTITION BY example_id ORDER BY s, e) AS nxt
+  FROM over JOIN u USING (rec) WHERE e > s AND s < b AND e > a),
+c AS (SELECT example_id, list(DISTINCT bd) AS cuts FROM m WHERE (nxt IS NULL OR nxt >= bd) AND bd > a AND bd < b GROUP BY example_id),
+p AS (
+  SELECT example_id, 0 AS piece, a AS s, b AS b, coalesce(cuts, []) AS cuts FROM over LEFT JOIN c USING (example_id)
+  UNION ALL
+  SELECT example_id, piece + 1, coalesce(list_max(list_filter(cuts, lambda x: x >= s + 2000 AND x <= s + 27500)), s + 27500) - 1000, b, cuts FROM p WHERE b - s > 27500)
+SELECT example_id, CAST(piece AS INT) AS piece, s AS start_ms,
+  CASE WHEN b - s > 27500 THEN coalesce(list_max(list_filter(cuts, lambda x: x >= s + 2000 AND x <= s + 27500)), s + 27500) ELSE b END AS end_ms,
+  CASE WHEN b - s <= 27500 THEN 'end' WHEN list_max(list_filter(cuts, lambda x: x >= s + 2000 AND x <= s + 27500)) IS NULL THEN 'hard' ELSE 'boundary' END AS cut
+FROM p""",
     "p4_found": """
 WITH RECURSIVE people AS (
   SELECT DISTINCT upper(trim(recording)) AS rec, lower(trim(speaker_id)) AS who FROM participants
