@@ -134,4 +134,21 @@ shown AS (
   FROM chunks WHERE trim(split) <> ''),
 torn AS (SELECT a FROM reach JOIN shown USING (b) GROUP BY a HAVING min(split) <> max(split))
 SELECT DISTINCT recording FROM recordings JOIN torn ON upper(trim(recording)) = a""",
+    "p4_splits": f"""
+WITH RECURSIVE people AS (
+  SELECT DISTINCT upper(trim(recording)) AS rec, lower(trim(speaker_id)) AS who FROM participants
+  WHERE trim(recording) <> '' AND lower(trim(speaker_id)) NOT IN {groups.NOBODY}),
+links AS (SELECT DISTINCT a.rec AS a, b.rec AS b FROM people a JOIN people b USING (who)),
+recs AS (SELECT upper(trim(recording)) AS rec, max(greatest(coalesce(CASE WHEN isnan(duration) THEN 0 ELSE duration END, 0), 0)) AS seconds FROM recordings WHERE trim(recording) <> '' GROUP BY 1),
+reach AS (SELECT rec AS a, rec AS b FROM recs UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a AS recording, 'r:' || min(b) AS component FROM reach GROUP BY a),
+sizes AS (SELECT component, CAST(sum(CAST(round(seconds * 1000) AS BIGINT)) AS BIGINT) AS ms FROM comp JOIN recs ON rec = recording GROUP BY 1),
+f AS (SELECT unnest({list(groups.FACTORS)}) AS x, generate_subscripts({list(groups.FACTORS)}, 1) AS k),
+options AS (SELECT (a.k - 1) * {len(groups.FACTORS)} + b.k - 1 AS option, 0.7::DOUBLE AS train, 0.2::DOUBLE * a.x::DOUBLE AS test, 0.1::DOUBLE * b.x::DOUBLE AS validation, a.x = 1 AND b.x = 1 AS plain FROM f a, f b),
+uniform AS (SELECT component, ms, {", ".join(f"(CAST('0x' || substr(sha256(component || ':{s}'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u_{s}" for s in sorted(groups.TARGETS))} FROM sizes),
+tried AS (SELECT component, ms, option, plain, list_sort([{", ".join(f"struct_pack(r := -{s} / ln(u_{s}), s := '{s}')" for s in sorted(groups.TARGETS))}])[-1].s AS split FROM uniform, options),
+totals AS (SELECT option, plain, split, sum(ms)::DOUBLE / (SELECT greatest(sum(ms), 1) FROM sizes)::DOUBLE AS part FROM tried GROUP BY ALL),
+off AS (SELECT option, plain, round({" + ".join(f"abs(coalesce(max(CASE WHEN split = '{s}' THEN part END), 0) - {w}::DOUBLE)" for s, w in groups.TARGETS.items())}, 9) AS off FROM totals GROUP BY ALL),
+best AS (SELECT option FROM off ORDER BY (plain AND off <= {groups.NEAR}) DESC, off, option LIMIT 1)
+SELECT c.recording, c.component, t.split, r.seconds FROM comp c JOIN recs r ON r.rec = c.recording JOIN tried t USING (component) JOIN best USING (option)""",
 }

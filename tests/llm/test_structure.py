@@ -75,6 +75,10 @@ def test_splits(spark):
     for split, share in groups.TARGETS.items():
         assert sum(x["seconds"] for x in got if x["split"] == split) / total == pytest.approx(share, abs=0.05)
     assert groups.assign_splits(recs.limit(0), people).count() == 0
+    # a further recording moves no more than the weights that change demand
+    more = recs.unionByName(spark.createDataFrame([("R999", 60.0)], "recording string, duration double"), allowMissingColumns=True)
+    before, after = ({x["recording"]: x["split"] for x in d.collect()} for d in (groups.assign_splits(recs, people), groups.assign_splits(more, people)))
+    assert sum(after[k] != v for k, v in before.items()) <= 15
 
 
 TRANSCRIPT = "﻿Tape A\nTopic: the pond\n[00:01] ANNA: we went um home [laughter]\r\nand back\n@Situation:\tbreak\n%com: x\n*BER: yes\nthe thing is: no\nu:m (.) @@@\nAna: [00:09] at 12:49 right\nB / anna: both 30988_31888\nall: hey\n(1:02) Berta; mm\nah:m we stay\nBetra : end.\n"
