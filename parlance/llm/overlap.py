@@ -23,9 +23,7 @@ from ..runtime import checkpointed
 from .plain import plain_words
 
 #: Share of words before which a cut lies, fewest and most words of a chunk, and independent sets of cuts.
-CUT_SHARE, MIN_WORDS, MAX_WORDS, CUTTINGS = 1 / 3, 4, 16, 8
-#: Records up to so many words have few chunks; theirs may be one word shorter.
-SHORT = 45
+CUT_SHARE, MIN_WORDS, MAX_WORDS, CUTTINGS = 1 / 3, 3, 16, 8
 #: Fewest plain words of a record, and the share of the longer one that may be edited.
 LEAST_WORDS, EDIT_SHARE = 20, 0.25
 #: Words of a run, and runs that a pair shares at least: with LEAST_WORDS and EDIT_SHARE, no pair shares fewer.
@@ -34,6 +32,10 @@ RUN, COMMON = 3, 3
 RARITY_SAMPLE, RARITY_KEPT = 20_000, 20_000
 #: Records whose runs are made at a time, for memory.
 _ROWS = 1_000
+#: Bits of a class's number that hold its count of words, as far as they reach.
+_SIZE_BITS = 12
+#: Cuttings of the overlap fractions of all records.
+FRACTION_CUTTINGS = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(MAX_WORDS, _BASE, dtype=np.uint64), dtype=np.uint64)
 
@@ -67,7 +69,7 @@ def chunk_digests(records: list[list[str]], cuttings: int = CUTTINGS) -> tuple[n
             starts = np.flatnonzero(inside == 0)
             length = np.diff(np.append(starts, len(flat)))
             digest = np.add.reduceat(word * _POWERS[inside], starts) * _BASE + np.uint64(s)
-            keep = length >= MIN_WORDS - (sizes[owner[starts]] <= SHORT)
+            keep = length >= MIN_WORDS
             out.append((owner[starts[keep]], digest[keep].view(np.int64), at[starts[keep]], length[keep]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -145,7 +147,7 @@ def run_digests(records: list[list[str]], hot: np.ndarray | None = None, count:
 def _digests(batches: Iterator[pd.DataFrame], hot: np.ndarray, count: np.ndarray) -> Iterator[pd.DataFrame]:
     for b in (x.iloc[i : i + _ROWS] for x in batches for i in range(0, len(x), _ROWS)):
         owner, digest = run_digests([w.split(" ") for w in b["words"]], hot, count)
-        yield pd.DataFrame({"digest": digest, "n": b["n"].to_numpy()[owner], "cls": b["cls"].to_numpy()[owner]})
+        yield pd.DataFrame({"digest": digest, "id": b["id"].to_numpy()[owner]})
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,13 +168,13 @@ def _hot(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _overlaps(a: list[list[str]], b: list[list[str]]) -> np.ndarray:
-    """Share of the shorter record's words in chunks that both records of a pair have, near in place."""
-    side = ["owner", "digest", "place", "length"]
-    chunks = [pd.DataFrame(dict(zip(side, chunk_digests(x), strict=True))).drop_duplicates(["owner", "digest"]) for x in (a, b)]
-    n = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.int64).reshape(-1, 2)
-    m = chunks[0].merge(chunks[1][side[:3]], on=["owner", "digest"], suffixes=("", "_b"))
-    m = m[(m["place"] - m["place_b"]).abs() <= np.floor(n.max(axis=1) * EDIT_SHARE)[m["owner"]]]
-    return np.bincount(m["owner"], m["length"], minlength=len(n)) / (CUTTINGS * n.min(axis=1))
+    """Share of the shorter record's words in chunks that both records of a pair have; each chunk of it counts."""
+    short, long = zip(*(sorted(p, key=len) for p in zip(a, b, strict=True)), strict=True) if a else ((), ())
+    owner, digest, _, length = chunk_digests([*short])
+    has = pd.MultiIndex.from_arrays(chunk_digests([*long])[:2])
+    hit = pd.MultiIndex.from_arrays([owner, digest]).isin(has) if len(owner) else np.zeros(0, dtype=bool)
+    n = np.array([len(x) for x in short], dtype=np.int64)
+    return np.bincount(owner[hit], length[hit], minlength=len(n)) / (CUTTINGS * np.maximum(n, 1))
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,24 +212,34 @@ def classes(records: DataFrame, id_col: str = "example_id", split_col: str = "sp
 
 
 def near_classes(reps: DataFrame) -> DataFrame:
-    """Pairs of different classes, ``a`` with train and ``b`` with held-out members, with distance and overlap."""
+    """Pairs of different classes, ``a`` with train and ``b`` with held-out members, with distance and overlap.
+
+    Until texts are compared a class is a number: its text's hash, its count of words in the lowest bits. Two
+    classes of one number would be compared together, and told apart by their texts.
+    """
     hot, count = _hot(reps)
-    digests = lambda side: reps.where(f"{side} = 1").select("cls", "words", "n").mapInPandas(partial(_digests, hot=hot, count=count), "digest long, n int, cls string")
-    a = digests("train").withColumnsRenamed({"n": "n_a", "cls": "a"})
-    b = digests("held").withColumnsRenamed({"n": "n_b", "cls": "b"})
+    sizes = (1 << _SIZE_BITS) - 1
+    number = F.xxhash64("words").bitwiseAND(F.lit(~sizes)).bitwiseOR(F.least(F.col("n"), F.lit(sizes)).cast("bigint")).alias("id")
+    digests = lambda side: reps.where(f"{side} = 1").select(number, "words").mapInPandas(partial(_digests, hot=hot, count=count), "digest long, id long")
+    n = lambda c: F.col(c).bitwiseAND(F.lit(sizes))
+    longer = F.greatest(n("a"), n("b"))
     # what is too far apart in length cannot be within the edits
     pairs = (
-        a.join(b, "digest")
-        .where((F.col("a") != F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= F.floor(F.greatest("n_a", "n_b") * EDIT_SHARE)))
+        digests("train").withColumnRenamed("id", "a")
+        .join(digests("held").withColumnRenamed("id", "b"), "digest")
+        .where((F.col("a") != F.col("b")) & ((F.abs(n("a") - n("b")) <= F.floor(longer * EDIT_SHARE)) | (longer == sizes)))
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("common"))
         .where(F.col("common") >= COMMON)
         .select("a", "b")
     )
-    texts = reps.select("cls", "words")
+    # texts grow with the data: they are joined by shuffles, never sent to the driver
+    texts = lambda side, c: reps.where(f"{side} = 1").select(number.alias(c), F.col("cls").alias(f"cls_{c}"), F.col("words").alias(f"words_{c}")).hint("merge")
     return (
-        pairs.join(texts.select(F.col("cls").alias("a"), F.col("words").alias("words_a")), "a")
-        .join(texts.select(F.col("cls").alias("b"), F.col("words").alias("words_b")), "b")
+        pairs.join(texts("train", "a"), "a")
+        .join(texts("held", "b"), "b")
+        .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "words_a", "words_b")
+        .where("a <> b")
         .mapInPandas(_verify, "a string, b string, distance int, overlap double")
     )
 
@@ -235,7 +247,7 @@ def near_classes(reps: DataFrame) -> DataFrame:
 def cross_split_pairs(records: DataFrame, **columns: str) -> DataFrame:
     """One row per pair of a train and a held-out record that are the same or nearly so.
 
-    Columns: id_a < id_b, split and source of the held-out record, distance in words and overlap (1.0 for copies).
+    Columns: id_a < id_b, id, split and source of the held-out record, distance in words and overlap (1.0 for copies).
     Empty tables and null texts give no rows.
     """
     members, reps = classes(records, **columns)
@@ -246,20 +258,46 @@ def cross_split_pairs(records: DataFrame, **columns: str) -> DataFrame:
         links.join(t, "a")
         .join(h, "b")
         .where("t_id <> h_id")
-        .select(F.least("t_id", "h_id").alias("id_a"), F.greatest("t_id", "h_id").alias("id_b"), F.col("_split").alias("split"), F.col("_source").alias("source"), "distance", "overlap")
+        .select(F.least("t_id", "h_id").alias("id_a"), F.greatest("t_id", "h_id").alias("id_b"), F.col("h_id").alias("held_id"), F.col("_split").alias("split"), F.col("_source").alias("source"), "distance", "overlap")
         .dropDuplicates(["id_a", "id_b"])
     )
 
 
 def document_classes(records: DataFrame, **columns: str) -> DataFrame:
-    """One row per held-out record and class: its class id, the number of classes with train members it is linked to (its own included)."""
+    """One row per record and class, of train and held-out splits alike: its class id, and its number of links.
+
+    Links are the classes on the other side that its class is near to, its own included where it has members
+    there. Records that take no part (null split or text, too few words) have no row.
+    """
+    members, reps = classes(records, **columns)
+    near = checkpointed(near_classes(reps).select("a", "b"))
+    count = lambda c: near.groupBy(F.col(c).alias("cls")).agg(F.count(F.lit(1)).alias(f"near_{c}"))
+    links = reps.select("cls", "train", "held").join(count("a"), "cls", "left").join(count("b"), "cls", "left")
+    train = F.col("_split") == "train"
+    n = F.when(train, F.coalesce("near_a", F.lit(0)) + F.col("held")).otherwise(F.coalesce("near_b", F.lit(0)) + F.col("train"))
+    return members.join(links, "cls").select(F.col("_id").alias("example_id"), F.col("_split").alias("split"), F.col("_source").alias("source"), F.col("cls").alias("class_id"), n.alias("links")).distinct()
+
+
+def _cut(batches: Iterator[pd.DataFrame], cuttings: int) -> Iterator[pd.DataFrame]:
+    for b in (x.iloc[i : i + _ROWS] for x in batches for i in range(0, len(x), _ROWS)):
+        owner, digest, _, length = chunk_digests([w.split(" ") for w in b["words"]], cuttings)
+        yield pd.DataFrame({"cls": b["cls"].to_numpy()[owner], "digest": digest, "length": length.astype(np.int32)})
+
+
+def overlap_fractions(records: DataFrame, cuttings: int = FRACTION_CUTTINGS, **columns: str) -> DataFrame:
+    """(example_id, split, source, words, overlap) of each held-out record: the share of its words in content-defined chunks that train has too.
+
+    Copies of one text are cut once; train's chunks are made distinct before they are joined, so a chunk that many
+    records hold is one row.
+    """
     members, reps = classes(records, **columns)
-    links = near_classes(reps).groupBy("b").agg(F.count(F.lit(1)).alias("near")).withColumnRenamed("b", "cls")
-    own = reps.where("held = 1").select("cls", "train")
-    return members.where("_split <> 'train'").join(own, "cls").join(links, "cls", "left").select(F.col("_id").alias("example_id"), F.col("_split").alias("split"), F.col("_source").alias("source"), F.col("cls").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.col("train")).alias("links")).distinct()
+    chunks = lambda side: reps.where(f"{side} = 1").select("cls", "words").mapInPandas(partial(_cut, cuttings=cuttings), "cls string, digest long, length int")
+    shared = chunks("held").join(chunks("train").select("digest").distinct(), "digest", "left_semi").groupBy("cls").agg(F.sum("length").alias("_shared"))
+    held = members.where("_split <> 'train'").join(reps.select("cls", "n"), "cls").join(shared, "cls", "left")
+    return held.select(F.col("_id").alias("example_id"), F.col("_split").alias("split"), F.col("_source").alias("source"), F.col("n").alias("words"), F.round(F.coalesce("_shared", F.lit(0)) / (F.col("n") * cuttings), 9).alias("overlap")).distinct()
 
 
 def overlap_report(records: DataFrame, **columns: str) -> DataFrame:
     """Held-out records and pairs with an overlap into train, per split and source."""
     pairs = cross_split_pairs(records, **columns)
-    return pairs.groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("distance") == 0, 1)).alias("exact_pairs"))
+    return pairs.groupBy("split", "source").agg(F.countDistinct("held_id").alias("records"), F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("distance") == 0, 1)).alias("exact_pairs"))

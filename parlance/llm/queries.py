@@ -50,6 +50,11 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return overlap.document_classes(table(ship(spark), d, "chunks"))
 
 
+def p3_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap fraction of each held-out record with train, by content-defined chunks."""
+    return overlap.overlap_fractions(table(ship(spark), d, "chunks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.torn_recordings(table(spark, d, "recordings"), table(spark, d, "participants"), table(spark, d, "chunks"))
 
@@ -95,7 +100,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(ship(spark), d, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_kinds, p2_found, p2_pieces, p2_texts, p3_found, p3_report, p3_classes, p4_found, p4_splits, p5_found, p5_turns, p6_found, p6_shares, p8_ids, p9_found, p9_items, p10_found)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_kinds, p2_found, p2_pieces, p2_texts, p3_found, p3_report, p3_classes, p3_overlaps, p4_found, p4_splits, p5_found, p5_turns, p6_found, p6_shares, p8_ids, p9_found, p9_items, p10_found)}
 
 SQL = {
     "p2_found": """

@@ -73,7 +73,12 @@ def test_pairs_and_classes(spark):
                 want.add((min(a, b), max(a, b)))
     assert got == want
     classes = {x["example_id"]: x for x in overlap.document_classes(df).collect()}
-    assert classes["c0"]["class_id"] == classes["c3"]["class_id"] and classes["c0"]["links"] >= 1
+    assert classes["c0"]["class_id"] == classes["c3"]["class_id"] == classes["c1"]["class_id"] and classes["c0"]["links"] >= 1
+    # one row per record that takes part, of either side
+    assert {(k, "train" if x["split"] == "train" else "held") for k, x in classes.items()} <= {*own} and {*classes} == {i for i, _ in own}
+    fractions = {x["example_id"]: x["overlap"] for x in overlap.overlap_fractions(df).collect()}
+    assert {*fractions} == {i for i, s in own if s == "held"} and fractions["c0"] > 0.4 and fractions["m1"] < fractions["c0"]
+    assert all(0 <= f <= 1 for f in fractions.values())
     report = overlap.overlap_report(df).collect()
     assert sum(x["pairs"] for x in report) == len(want)
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
@@ -94,7 +99,7 @@ def test_recall_of_chunks():
 
 def test_chunks_of_odd_records():
     owner, digest, place, length = overlap.chunk_digests([[], ["a"] * 50, ["b", "c"]])
-    assert set(owner) <= {1, 2} and (length >= overlap.MIN_WORDS - 1).all() and (length <= overlap.MAX_WORDS).all()
+    assert set(owner) <= {1, 2} and (length >= overlap.MIN_WORDS).all() and (length <= overlap.MAX_WORDS).all()
     assert all(len(x) == 0 for x in overlap.chunk_digests([]))
 
 
@@ -251,3 +256,16 @@ def test_runs_of_all_pairs():
             hot, count = digest, np.array([r.randint(1, 9) for _ in digest])
         owner, digest = overlap.run_digests([a, b], hot, count)
         assert len(set(digest[owner == 0]) & set(digest[owner == 1])) >= overlap.COMMON
+
+
+def test_doubled_records(spark):
+    """Records that hold their words twice, edited in one half: their chunks have two places each, and no link is lost."""
+    r = random.Random(13)
+    rows, want = [], set()
+    for k in range(60):
+        w = [f"w{r.getrandbits(40)}x" for _ in range(r.randrange(20, 50))]
+        e = [f"e{r.getrandbits(40)}x" if i % 4 == 3 else x for i, x in enumerate(w)]
+        rows += [(f"{k}-a", "train", "x", " ".join(w + w)), (f"{k}-b", "test", "x", " ".join(e + w))]
+        want.add((f"{k}-a", f"{k}-b"))
+    df = spark.createDataFrame(rows, "example_id string, split string, corpus string, text string")
+    assert {(x["id_a"], x["id_b"]) for x in overlap.cross_split_pairs(df).collect()} == want
