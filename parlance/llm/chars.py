@@ -63,12 +63,56 @@ x х χ
 y у γ
 """
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
+# Letters of further scripts that look like Latin ones, as (letter, look-alikes).
+LIKE_LATIN = """
+A Ꭺ ꓮ
+B Ᏼ ꓐ
+C Ꮯ ꓚ Ⲥ
+D Ꭰ ꓓ
+E Ꭼ ꓰ
+F ꓝ
+G Ꮐ ꓖ
+H Ꮋ ꓧ Ⲏ
+I ꓲ Ⲓ
+J Ꭻ ꓙ
+K Ꮶ ꓗ Ⲕ
+L Ꮮ ꓡ
+M Ꮇ ꓟ Ⲙ
+N ꓠ Ⲛ
+O Օ ꓳ Ⲟ
+P Ꮲ ꓑ Ⲣ
+R Ꭱ ꓣ
+S Ꮪ Տ ꓢ
+T Ꭲ ꓔ Ⲧ
+U Ս ꓴ
+V Ꮩ ꓦ
+W Ꮃ ꓪ
+X ꓫ Ⲭ
+Y ꓬ
+Z Ꮓ ꓜ
+a ɑ
+c ⲥ
+g ɡ ց
+h հ
+n ո
+o օ ⲟ
+p ⲣ
+q զ
+u ս
+"""
 LOOK: dict[str, dict[str, str]] = {}
 for _row in LOOKALIKES.split("\n"):
     _group = dict(zip(SCRIPTS, _row.split(), strict=False))
     for _script, _letter in _group.items():
         if _letter != "-":
             LOOK.setdefault(_letter, {}).update({s: x for s, x in _group.items() if x != "-" and s != _script})
+for _letter, *_like in map(str.split, filter(None, LIKE_LATIN.split("\n"))):
+    for _x in _like:
+        LOOK.setdefault(_x, {})["Latin"] = _letter
+#: Latin letters that stand for others in words of ordinary ones; in phonetic notation they are letters of their own.
+LATIN_LOOKS = "ɑɡ"
+#: From so many letters on, a word with digits after it is judged as the word alone is.
+WORD_WITH_DIGITS = 4
 
 #: Signs without a width, that never belong into a word of plain text.
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e\u2061\u2062\u2063\u2064\u034f"
@@ -76,7 +120,7 @@ INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e\u2061\u2062\u2063\u2064\
 USUAL = "ำຳ"
 
 _SETS = {"Han": {"Han", "Jpan", "Kore", "Hanb"}, "Hiragana": {"Hiragana", "Jpan"}, "Katakana": {"Katakana", "Jpan"}, "Hangul": {"Hangul", "Kore"}, "Bopomofo": {"Bopomofo", "Hanb"}}
-_NAMES = ("Latin", "Cyrillic", "Greek", "Armenian", "Georgian", "Cherokee", "Hebrew", "Arabic", "Devanagari", "Bengali", "Tamil", "Thai", "Lao", "Khmer", "Myanmar", "Ethiopic", "Han", "Hiragana", "Katakana", "Hangul", "Bopomofo")
+_NAMES = ("Latin", "Cyrillic", "Greek", "Armenian", "Georgian", "Cherokee", "Coptic", "Lisu", "Hebrew", "Arabic", "Devanagari", "Bengali", "Tamil", "Thai", "Lao", "Khmer", "Myanmar", "Ethiopic", "Han", "Hiragana", "Katakana", "Hangul", "Bopomofo")
 _BY_NAME = [(n, regex.compile(rf"\p{{scx={n}}}")) for n in _NAMES]
 _ANY = regex.compile(r"\p{scx=Common}|\p{scx=Inherited}")
 
@@ -115,7 +159,11 @@ _HIDDEN = regex.compile(f"[{INVISIBLE}]")
 _SPACES = regex.compile(r"[^\P{Zs} ]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _WORD_REST = regex.compile(r"[\p{N}_]")
+_DIGITS_END = regex.compile(r"\p{Nd}+(?![\p{L}\p{N}_])")
 _LETTERED = regex.compile(r"(?:\p{Cyrillic}|\p{Greek})")
+_FURTHER = regex.compile(f"[{''.join(x for x in LOOK if x not in LOOKALIKES)}]")
+_FURTHER_SCRIPTS = {s: regex.compile(rf"\p{{{s}}}") for s in ("Armenian", "Cherokee", "Coptic", "Lisu")}
+_PHONETIC = regex.compile(rf"[A-Za-z]*[{LATIN_LOOKS}][A-Za-z{LATIN_LOOKS}]*")
 _LATIN = regex.compile(r"\p{Latin}")
 _MARKED = regex.compile(r"\p{M}")
 _OF_SCRIPT = {s: regex.compile(rf"\p{{{s}}}") for s in SCRIPTS}
@@ -134,8 +182,10 @@ def _dominant(text: str) -> str | None:
     n = Counter()
     for s in SCRIPTS:
         n[s] = len(_OF_SCRIPT[s].findall(text))
+    if _FURTHER.search(text):
+        n.update({s: len(p.findall(text)) for s, p in _FURTHER_SCRIPTS.items()})
     best, count = n.most_common(1)[0]
-    return best if count else None
+    return best if count and best in SCRIPTS else None
 
 
 def _target(token: str, text_script: str | None, alone: bool) -> str | None:
@@ -146,6 +196,8 @@ def _target(token: str, text_script: str | None, alone: bool) -> str | None:
     shared = frozenset.intersection(*own)
     fits = lambda target: all((s := scripts(c)) is None or target in s or target in LOOK.get(c, {}) for c in token)
     if shared:
+        if _PHONETIC.fullmatch(token) and sum(c.isascii() for c in token) >= 2:
+            return "Latin"
         if alone and text_script and text_script not in shared and fits(text_script):
             return text_script
         return None
@@ -158,7 +210,8 @@ def _target(token: str, text_script: str | None, alone: bool) -> str | None:
 
 def _respell(text: str) -> tuple[str, bool]:
     """Tokens of confusable letters in the script they belong to; whether there was one."""
-    if not (_LETTERED.search(text) and (_LATIN.search(text) or sum(p.search(text) is not None for p in _OF_SCRIPT.values()) > 1)):
+    mixed = _LETTERED.search(text) and (_LATIN.search(text) or sum(p.search(text) is not None for p in _OF_SCRIPT.values()) > 1)
+    if not mixed and not (_FURTHER.search(text) and _LATIN.search(text)):
         return text, False
     script, out, at, hit = _dominant(text), [], 0, False
     for m in _TOKEN.finditer(text):
@@ -167,9 +220,10 @@ def _respell(text: str) -> tuple[str, bool]:
             continue
         # an abbreviation or a number with letters is one word: it must fit as a whole
         alone = not (_WORD_REST.match(text[b : b + 1]) or _WORD_REST.match(text[a - 1 : a] if a else ""))
+        alone = alone or (b - a >= WORD_WITH_DIGITS and not _WORD_REST.match(text[a - 1 : a] if a else "") and _DIGITS_END.match(text, b) is not None)
         alone = alone and not (text[b : b + 1] == "." and text[b + 1 : b + 2].isalnum()) and not (a > 1 and text[a - 1] == "." and text[a - 2].isalnum())
         if target := _target(token, script, alone):
-            out += [text[at:a], "".join(LOOK[c][target] if (s := scripts(c)) is not None and target not in s else c for c in token)]
+            out += [text[at:a], "".join(LOOK[c][target] if (s := scripts(c)) is not None and (target not in s or c in LATIN_LOOKS) else c for c in token)]
             at, hit = b, True
     return ("".join([*out, text[at:]]), True) if hit else (text, False)
 

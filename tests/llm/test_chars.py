@@ -27,6 +27,13 @@ from parlance.llm import chars, plain
         ("Наша грyппа слушала", "Наша группа слушала", ["script"]),
         ("Η ομάδα τoν άκουσε", "Η ομάδα τον άκουσε", ["script"]),
         ("they saw the осе near here", "they saw the oce near here", ["script"]),
+        ("they wrote раура1 there", "they wrote paypa1 there", ["script"]),
+        ("the ԼBC tape", "the ԼBC tape", []),
+        ("ցoogle it", "google it", ["script"]),
+        ("an Ꭺpple", "an Apple", ["script"]),
+        ("an ɑpple", "an apple", ["script"]),
+        ("ⲟne more", "one more", ["script"]),
+        ("a ꓬes from us", "a Yes from us", ["script"]),
     ],
 )
 def test_cases(text, clean, kinds):
@@ -37,7 +44,7 @@ def test_cases(text, clean, kinds):
 
 @pytest.mark.parametrize(
     "text",
-    [None, "", "plain", "é Māori", "½ cup… “yes” ‘no’ «x» „y“", "👨‍👩‍👧 👩🏽‍🏫", "दर्‍या का", "น้ำในถัง", "v2.1版の橋（2番目の）", "a\tb\r\nc", "версия 2 и я с ним", "κατά 3 p.m. εδώ", "テープと二つ", "日本語とEnglish", "ー一ニ二"],
+    [None, "", "plain", "é Māori", "½ cup… “yes” ‘no’ «x» „y“", "👨‍👩‍👧 👩🏽‍🏫", "दर्‍या का", "น้ำในถัง", "v2.1版の橋（2番目の）", "a\tb\r\nc", "версия 2 и я с ним", "κατά 3 p.m. εδώ", "テープと二つ", "А1 и Б2 в плане", "said [ɡɑt] twice", "Նա ասաց ո՛չ to us", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ in Tsalagi", "ışık ve ağaç", "日本語とEnglish", "ー一ニ二"],
 )
 def test_not_cases(text):
     assert chars.kinds(text) == [] and chars.consistent(text) == text
