@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from .spellings import PAIRS
+from .spellings import common_form
 
 # Fillers of the lexical scorer and of the intended-text rules.
 FILLERS_WIDE = "ah eh er erm hm hmm hmmm mhm mm mmm mmmm mm-hm mm-hmm uh uh-huh uhh uhm um umm".split()
@@ -111,23 +111,8 @@ tyres tires
 """.split("\n")
     if line
 )
-# Families of -ise verbs whose spelling alone differs.
-ISE_ROOTS = "author categor central character civil colon commercial computer critic emphas final formal general hospital legal local maxim minim modern normal organ priorit public real recogn special standard summar visual".split()
-ISE_ENDINGS = "isations isation isers iser ising ised ises ise".split()
 # Regional vocabulary or pronunciation, not spelling; stays apart.
 NOT_SPELLING = "aeroplane airplane bougie bogie louth loth mum mom rolland roland titbit tidbit titbits tidbits".split()
-# Regional spellings with their common form, those that stay apart left out.
-SPELLINGS = {a: b for a, b in map(str.split, PAIRS.strip().split("\n")) if a not in NOT_SPELLING and b not in NOT_SPELLING}
-
-
-def ise_form(word: str) -> str:
-    """-ise and -isation in the -ize spelling, for the families named only."""
-    for end in ISE_ENDINGS:
-        if word.endswith(end):
-            stem = word[: -len(end)]
-            if stem.startswith(tuple(ISE_ROOTS)):
-                return stem + "iz" + end[2:]
-    return word
 
 
 @lru_cache(4)
@@ -142,10 +127,10 @@ def spelling_table(path: str | None) -> dict[str, str]:
 
 @lru_cache(1 << 16)
 def canonical_word(word: str, table: str | None = None) -> str:
-    """One spelling of a folded lower-case word: conventions first, then the table given, the regional spellings and -ise."""
+    """One spelling of a folded lower-case word: conventions first, then the table given, then the rules."""
     if word in CANONICAL:
         return CANONICAL[word]
     extra = spelling_table(table)
     if word in extra:
         return extra[word]
-    return SPELLINGS.get(word) or ise_form(word)
+    return word if word in NOT_SPELLING else CANONICAL.get(common := common_form(word), common)

@@ -1,1012 +1,59 @@
-"""Regional spellings with their common forms, from localspelling 0.94.
+"""Regional spellings of English words and their common forms, by rules of stems and endings."""
 
-Source: https://github.com/fastdatascience/localspelling, MIT licensed by its package metadata.
-"""
+from __future__ import annotations
 
-PAIRS = """
-acclimatisation acclimatization
-acclimatise acclimatize
-acclimatised acclimatized
-acclimatising acclimatizing
-actualisation actualization
-actualise actualize
-actualised actualized
-actualising actualizing
-aeon eon
-aeons eons
-aeroplane airplane
-aetiology etiology
-aggrandise aggrandize
-aggrandised aggrandized
-aggrandisement aggrandizement
-aggrandising aggrandizing
-agonise agonize
-agonised agonized
-agonisedly agonizedly
-agonising agonizing
-agonisingly agonizingly
-aluminium aluminum
-amoeba ameba
-amoebas amebas
-amoebic amebic
-amortisation amortization
-amortise amortize
-amortised amortized
-amortising amortizing
-amphitheatre amphitheater
-anaemia anemia
-anaemic anemic
-anaesthesia anesthesia
-anaesthetically anesthetically
-anaesthetic anesthetic
-anaesthetics anesthetics
-anaesthetist anesthetist
-anaesthetists anesthetists
-analyse analyze
-analysed analyzed
-analyser analyzer
-analysing analyzing
-antagonise antagonize
-antagonised antagonized
-antagonising antagonizing
-apologise apologize
-apologised apologized
-apologising apologizing
-appetiser appetizer
-appetising appetizing
-arbour arbor
-arbours arbors
-ardour ardor
-armour armor
-armoured armored
-armouring armoring
-armours armors
-armoury armory
-atomisation atomization
-atomise atomize
-atomised atomized
-atomiser atomizer
-atomising atomizing
-authorisation authorization
-authorise authorize
-authorised authorized
-authorising authorizing
-baptise baptize
-baptised baptized
-baptising baptizing
-bedevilled bedeviled
-bedevilling bedeviling
-behavioural behavioral
-behaviourally behaviorally
-behaviour behavior
-behaviourism behaviorism
-behaviours behaviors
-belabour belabor
-belaboured belabored
-belabouring belaboring
-belabours belabors
-bevelled beveled
-bevelling beveling
-blowsy blowzy
-bougie bogie
-bourne borne
-bowdlerise bowdlerize
-bowdlerised bowdlerized
-bowdlerising bowdlerizing
-breathalyser breathalyzer
-brutalise brutalize
-brutalised brutalized
-brutalising brutalizing
-bureaucratisation bureaucratization
-caecum cecum
-caesium cesium
-calibre caliber
-callipers calipers
-canalisation canalization
-canalise canalize
-canalised canalized
-canalising canalizing
-cancelled canceled
-cancelling canceling
-candour candor
-cannibalise cannibalize
-cannibalised cannibalized
-cannibalising cannibalizing
-canonise canonize
-canonised canonized
-canonising canonizing
-capitalisation capitalization
-capitalise capitalize
-capitalised capitalized
-capitalising capitalizing
-caramelise caramelize
-caramelised caramelized
-caramelising caramelizing
-carbonise carbonize
-carbonised carbonized
-carbonising carbonizing
-carolled caroled
-caroller caroler
-carollers carolers
-carolling caroling
-catechise catechize
-categorisation categorization
-categorise categorize
-categorised categorized
-categorising categorizing
-cauterisation cauterization
-cauterise cauterize
-cauterised cauterized
-cauterising cauterizing
-cavilled caviled
-caviller caviler
-cavillers cavilers
-cavilling caviling
-centilitre centiliter
-centimetre centimeter
-centralisation centralization
-centralise centralize
-centralised centralized
-centralising centralizing
-centre center
-centres centers
-channelled channeled
-channelling channeling
-characterisation characterization
-characterise characterize
-characterised characterized
-characterising characterizing
-chilli chili
-chiselled chiseled
-chiselling chiseling
-circularise circularize
-civilisation civilization
-civilise civilize
-civilised civilized
-civilising civilizing
-clamour clamor
-clamoured clamored
-clamouring clamoring
-clamours clamors
-clangour clangor
-coeliac celiac
-cognisable cognizable
-cognisably cognizably
-cognisance cognizance
-cognisant cognizant
-collectivise collectivize
-colonisation colonization
-colonise colonize
-colonised colonized
-colonising colonizing
-colourable colorable
-colour color
-coloured colored
-colourful colorful
-colourfully colorfully
-colouring coloring
-colourings colorings
-colourless colorless
-colours colors
-commercialisation commercialization
-commercialise commercialize
-commercialised commercialized
-communise communize
-compartmentalisation compartmentalization
-compartmentalise compartmentalize
-compartmentalised compartmentalized
-compartmentalising compartmentalizing
-compere compeer
-computerisation computerization
-computerise computerize
-computerised computerized
-computerising computerizing
-conceptualisation conceptualization
-conceptualise conceptualize
-conceptualised conceptualized
-conceptualising conceptualizing
-containerisation containerization
-containerise containerize
-containerised containerized
-containerising containerizing
-conventionalised conventionalized
-cosier cozier
-cosily cozily
-councillor councilor
-councillors councilors
-counselled counseled
-counselling counseling
-counsellor counselor
-counsellors counselors
-criticise criticize
-criticised criticized
-criticising criticizing
-crueller crueler
-cruellest cruelest
-cudgelled cudgeled
-cudgelling cudgeling
-curiae curie
-decentralisation decentralization
-decentralised decentralized
-decentralise decentralize
-decentralising decentralizing
-decilitre deciliter
-decimalisation decimalization
-decimalised decimalized
-decimalise decimalize
-decimalising decimalizing
-dehumanisation dehumanization
-dehumanised dehumanized
-dehumanise dehumanize
-dehumanising dehumanizing
-delocalised delocalized
-demeanour demeanor
-demobilisation demobilization
-democratisation democratization
-democratised democratized
-democratise democratize
-democratising democratizing
-demoralisation demoralization
-demoralised demoralized
-demoralise demoralize
-demoralising demoralizing
-demythologise demythologize
-denationalisation denationalization
-denationalised denationalized
-denationalise denationalize
-denationalising denationalizing
-deodorisation deodorization
-deodorised deodorized
-deodorise deodorize
-deodorising deodorizing
-departmentalised departmentalized
-departmentalise departmentalize
-departmentalising departmentalizing
-depolarisation depolarization
-depolarised depolarized
-depolarise depolarize
-depolarising depolarizing
-deputised deputized
-deputise deputize
-deputising deputizing
-devilled deviled
-devitalised devitalized
-devitalise devitalize
-devitalising devitalizing
-dialled dialed
-dialler dialer
-dialling dialing
-diarrhoea diarrhea
-digitalisation digitalization
-digitised digitized
-digitise digitize
-digitising digitizing
-discolour discolor
-discoloured discolored
-discolouring discoloring
-discolours discolors
-disembowelled disemboweled
-disembowelling disemboweling
-disenthralled disenthraled
-disenthralling disenthraling
-disfavour disfavor
-disfavoured disfavored
-disfavouring disfavoring
-disfavours disfavors
-dishevelled disheveled
-dishevelling disheveling
-dishonourable dishonorable
-dishonourableness dishonorableness
-dishonourably dishonorably
-dishonour dishonor
-dishonoured dishonored
-dishonouring dishonoring
-dishonours dishonors
-dramatisation dramatization
-dramatised dramatized
-dramatise dramatize
-dramatising dramatizing
-drivelled driveled
-drivelling driveling
-duelled dueled
-dueller dueler
-duellers duelers
-duelling dueling
-duellist duelist
-duellists duelists
-economised economized
-economise economize
-economising economizing
-enamelled enameled
-enamelling enameling
-enamoured enamored
-enamour enamor
-enamouring enamoring
-enamours enamors
-encyclopaedia encyclopedia
-encyclopaedias encyclopedias
-encyclopaedic encyclopedic
-endeavoured endeavored
-endeavour endeavor
-endeavouring endeavoring
-endeavours endeavors
-energised energized
-energise energize
-energising energizing
-engravre engraver
-epicentre epicenter
-epitomised epitomized
-epitomise epitomize
-epitomising epitomizing
-equalisation equalization
-equalised equalized
-equalise equalize
-equaliser equalizer
-equalising equalizing
-equalled equaled
-equalling equaling
-extemporised extemporized
-extemporise extemporize
-extemporising extemporizing
-extemporisingly extemporizingly
-externalisation externalization
-factorisation factorization
-factorising factorizing
-faecal fecal
-faeces feces
-familiarisation familiarization
-familiarised familiarized
-familiarise familiarize
-familiarising familiarizing
-faroes fares
-favourable favorable
-favourableness favorableness
-favourably favorably
-favoured favored
-favour favor
-favouring favoring
-favourite favorite
-favourites favorites
-favouritism favoritism
-favours favors
-fertilisation fertilization
-fertilised fertilized
-fertilise fertilize
-fertiliser fertilizer
-fertilising fertilizing
-fervour fervor
-fibre fiber
-fictionalised fictionalized
-finalised finalized
-finalise finalize
-finalising finalizing
-flavoured flavored
-flavour flavor
-flavouring flavoring
-flavourings flavorings
-flavourless flavorless
-flavours flavors
-foetal fetal
-foetid fetid
-foetus fetus
-formalisation formalization
-formalised formalized
-formalise formalize
-formalising formalizing
-fraternised fraternized
-fraternise fraternize
-fraternising fraternizing
-fuelled fueled
-fuelling fueling
-funnelled funneled
-funnelling funneling
-galvanised galvanized
-galvanise galvanize
-galvanising galvanizing
-gambolled gamboled
-gambolling gamboling
-generalisation generalization
-generalised generalized
-generalise generalize
-generalising generalizing
-glamorised glamorized
-glamorise glamorize
-glamorising glamorizing
-goitre goiter
-gonorrhoea gonorrhea
-grovelled groveled
-groveller groveler
-grovellers grovelers
-grovelling groveling
-gruelling grueling
-gynaecologist gynecologist
-gynaecologists gynecologists
-gynaecology gynecology
-haematology hematology
-haemoglobin hemoglobin
-haemolytic hemolytic
-haemophiliac hemophiliac
-haemophiliacs hemophiliacs
-haemophilia hemophilia
-haemorrhage hemorrhage
-haemorrhoid hemorrhoid
-haemorrhoids hemorrhoids
-harboured harbored
-harbour harbor
-harbouring harboring
-harbours harbors
-harmonisation harmonization
-harmonised harmonized
-harmonise harmonize
-harmonising harmonizing
-homogenised homogenized
-homogenise homogenize
-homogenising homogenizing
-honourable honorable
-honourably honorably
-honoured honored
-honour honor
-honouring honoring
-honours honors
-humanised humanized
-humanise humanize
-humanising humanizing
-humoured humored
-humour humor
-humouring humoring
-humours humors
-hybridisation hybridization
-hybridised hybridized
-hybridise hybridize
-hybridising hybridizing
-hydrolysed hydrolyzed
-hydrolyse hydrolyze
-hydrolysing hydrolyzing
-hypnotised hypnotized
-hypnotise hypnotize
-hypnotising hypnotizing
-idealisation idealization
-idealised idealized
-idealise idealize
-idealising idealizing
-idolised idolized
-idolise idolize
-idolising idolizing
-immobilisation immobilization
-immobilised immobilized
-immobilise immobilize
-immobilising immobilizing
-immortalised immortalized
-immortalise immortalize
-immortalising immortalizing
-immunisation immunization
-immunised immunized
-immunise immunize
-immunising immunizing
-imperilled imperiled
-imperilling imperiling
-individualised individualized
-individualise individualize
-individualising individualizing
-initialisation initialization
-initialised initialized
-initialise initialize
-initialising initializing
-initialled initialed
-initialling initialing
-internalised internalized
-internalise internalize
-internalising internalizing
-ionisation ionization
-ionised ionized
-ionise ionize
-ionising ionizing
-*isation *ization
-italicised italicized
-itemisation itemization
-itemised itemized
-itemise itemize
-itemising itemizing
-jeopardised jeopardized
-jeopardise jeopardize
-jeopardising jeopardizing
-jeweller jeweler
-jewellers jewelers
-kennelled kenneled
-kennelling kenneling
-kilometre kilometer
-labelled labeled
-labeller labeler
-labellers labelers
-labelling labeling
-laboured labored
-labourer laborer
-labourers laborers
-labouring laboring
-labour labor
-labours labors
-lacklustre lackluster
-legalised legalized
-legalise legalize
-legalising legalizing
-legitimised legitimized
-legitimise legitimize
-legitimising legitimizing
-leukaemia leukemia
-levelled leveled
-leveller leveler
-levellers levelers
-levelling leveling
-libelled libeled
-libeller libeler
-libellers libelers
-libelling libeling
-libellous libelous
-libellously libelously
-liberalising liberalizing
-lionised lionized
-lionise lionize
-lionising lionizing
-liquidised liquidized
-liquidise liquidize
-liquidiser liquidizer
-liquidising liquidizing
-litre liter
-localisation localization
-localised localized
-localise localize
-localising localizing
-louth loth
-lustre luster
-magnetised magnetized
-magnetiser magnetizer
-manoeuvred maneuvered
-manoeuvre maneuver
-manoeuvring maneuvering
-manoeuvrs maneuvers
-marshalled marshaled
-marshalling marshaling
-marshalls marshals
-marvelled marveled
-marvelling marveling
-marvellously marvelously
-marvellous marvelous
-marvellousness marvelousness
-materialised materialized
-materialise materialize
-materialising materializing
-maximisation maximization
-maximised maximized
-maximise maximize
-maximising maximizing
-meagre meager
-mechanisation mechanization
-mechanised mechanized
-mechanise mechanize
-mechanising mechanizing
-memorialised memorialized
-memorisation memorization
-memorised memorized
-memorise memorize
-memorising memorizing
-metabolised metabolized
-metabolise metabolize
-metre meter
-millilitre milliliter
-millimetre millimeter
-mineralised mineralized
-minimisation minimization
-minimised minimized
-minimise minimize
-minimising minimizing
-misbehaviour misbehavior
-misdemeanour misdemeanor
-misdemeanours misdemeanors
-mitre miter
-mobilisation mobilization
-mobilised mobilized
-mobilise mobilize
-mobilising mobilizing
-modelled modeled
-modelling modeling
-modernisation modernization
-modernised modernized
-modernise modernize
-modernising modernizing
-monopolisation monopolization
-monopolised monopolized
-monopolise monopolize
-monopolising monopolizing
-moralised moralized
-moralise moralize
-moralising moralizing
-moulded molded
-moulder molder
-moulders molders
-mouldier moldier
-mouldiest moldiest
-moulding molding
-mouldings moldings
-mould mold
-moulds molds
-mouldy moldy
-moulted molted
-moulting molting
-moult molt
-moults molts
-multicoloured multicolored
-multicolour multicolor
-nationalisation nationalization
-nationalised nationalized
-nationalise nationalize
-nationalising nationalizing
-naturalisation naturalization
-naturalised naturalized
-naturalise naturalize
-naturalising naturalizing
-neighboured neighbored
-neighbourhood neighborhood
-neighbourhoods neighborhoods
-neighbouring neighboring
-neighbourless neighborless
-neighbourliness neighborliness
-neighbourly neighborly
-neighbour neighbor
-neighbours neighbors
-neutralisation neutralization
-neutralised neutralized
-neutralise neutralize
-neutralising neutralizing
-nitre niter
-normalisation normalization
-normalised normalized
-normalise normalize
-normalising normalizing
-notarised notarized
-notarise notarize
-novelised novelized
-odourless odorless
-odour odor
-oedema edema
-oenology enology
-oesophagus esophagus
-oestrogen estrogen
-operationalised operationalized
-operationalise operationalize
-operationalising operationalizing
-optimisation optimization
-optimised optimized
-optimise optimize
-optimiser optimizer
-optimising optimizing
-organisationally organizationally
-organisational organizational
-organisation organization
-organised organized
-organise organize
-organiser organizer
-organising organizing
-orphanised orphanized
-orphanise orphanize
-orthopaedic orthopedic
-oxidise oxidize
-paediatrician pediatrician
-paediatric pediatric
-paediatrics pediatrics
-paedophile pedophile
-palaeocene paleocene
-palaeolithic paleolithic
-palaeontology paleontology
-palaeozoic paleozoic
-panelled paneled
-panelling paneling
-paralysed paralyzed
-paralyse paralyze
-paralysing paralyzing
-parcelled parceled
-parcelling parceling
-parlour parlor
-parlours parlors
-patronised patronized
-patronise patronize
-patronising patronizing
-pedalled pedaled
-pedalling pedaling
-penalisation penalization
-penalised penalized
-penalise penalize
-penalising penalizing
-pencilled penciled
-pencilling penciling
-plagiarised plagiarized
-plagiarise plagiarize
-plagiarising plagiarizing
-platinise platinize
-polarisation polarization
-polarised polarized
-polarise polarize
-polarising polarizing
-popularisation popularization
-popularised popularized
-prioritise prioritize
-publicised publicized
-publicise publicize
-publicising publicizing
-pulverisation pulverization
-pulverised pulverized
-pulverise pulverize
-pulverising pulverizing
-pummelled pummeled
-pummelling pummeling
-quantisation quantization
-quantised quantized
-quantise quantize
-quantising quantizing
-quarrelled quarreled
-quarrelling quarreling
-rancour rancor
-randomisation randomization
-randomise randomize
-rationalisation rationalization
-rationalised rationalized
-rationalise rationalize
-rationalising rationalizing
-ravelled raveled
-ravelling raveling
-realisable realizable
-realisation realization
-realised realized
-realise realize
-realising realizing
-recognisability recognizability
-recognisable recognizable
-recognisably recognizably
-recognisance recognizance
-recognised recognized
-recognise recognize
-recognising recognizing
-recoloured recolored
-recolouring recoloring
-recolour recolor
-recolours recolors
-reconnoitre reconnoiter
-refuelled refueled
-refuelling refueling
-regularisation regularization
-regularised regularized
-regularise regularize
-regularising regularizing
-reinitialised reinitialized
-reinitialise reinitialize
-reinitialising reinitializing
-remodelled remodeled
-remodelling remodeling
-remoulding remolding
-reorganisation reorganization
-reorganised reorganized
-reorganise reorganize
-reorganising reorganizing
-revelled reveled
-reveller reveler
-revellers revelers
-revelling reveling
-revitalisation revitalization
-revitalised revitalized
-revitalise revitalize
-revitalising revitalizing
-revolutionised revolutionized
-revolutionise revolutionize
-revolutionising revolutionizing
-rigour rigor
-rigours rigors
-ritualised ritualized
-rivalled rivaled
-rivalling rivaling
-rolland roland
-romanticised romanticized
-romanticise romanticize
-romanticising romanticizing
-rubberised rubberized
-rumoured rumored
-rumouring rumoring
-rumour rumor
-rumours rumors
-sabre saber
-saltpetre saltpeter
-saviour savior
-saviours saviors
-savoured savored
-savouries savories
-savouring savoring
-savour savor
-savours savors
-savoury savory
-sceptre scepter
-sepulchre sepulcher
-shovelled shoveled
-shovelling shoveling
-shrivelled shriveled
-shrivelling shriveling
-signalled signaled
-signalling signaling
-smouldered smoldered
-smouldering smoldering
-smoulder smolder
-smoulders smolders
-snivelled sniveled
-snivelling sniveling
-sombre somber
-spectre specter
-spiralled spiraled
-spiralling spiraling
-splendour splendor
-splendours splendors
-stencilled stenciled
-stencilling stenciling
-succoured succored
-succouring succoring
-succours succors
-succour succor
-swivelled swiveled
-swivelling swiveling
-tantalised tantalized
-tantalise tantalize
-tantalising tantalizing
-teetotallers teetotalers
-teetotaller teetotaler
-temporised temporized
-temporiser temporizer
-temporise temporize
-temporisingly temporizingly
-temporising temporizing
-tenderised tenderized
-tenderiser tenderizer
-tenderise tenderize
-tenderising tenderizing
-terrorisation terrorization
-terrorised terrorized
-terrorise terrorize
-terrorising terrorizing
-theatre theater
-theorised theorized
-theoriser theorizer
-theorise theorize
-theorising theorizing
-tokenised tokenized
-totalised totalized
-totalise totalize
-totalising totalizing
-totalled totaled
-totalling totaling
-towelled toweled
-towelling toweling
-traditionalised traditionalized
-tranquillisingly tranquillizingly
-tranquillizers tranquilizers
-tranquillizer tranquilizer
-travelled traveled
-travellers travelers
-traveller traveler
-travelling traveling
-tricolour tricolor
-trivialised trivialized
-trivialise trivialize
-trivialising trivializing
-tumours tumors
-tumour tumor
-tunnelled tunneled
-tunnellers tunnelers
-tunnelling tunneling
-tyrannised tyrannized
-tyrannise tyrannize
-tyrannising tyrannizing
-unacclimatised unacclimatized
-unamortised unamortized
-unanalysed unanalyzed
-unauthorised unauthorized
-uncivilised uncivilized
-uncoloured uncolored
-unequalled unequaled
-unfavourableness unfavorableness
-unfavourable unfavorable
-unfavourably unfavorably
-unfavoured unfavored
-unfertilised unfertilized
-unitised unitized
-unlabelled unlabeled
-unlevelled unleveled
-unorganised unorganized
-unpatronising unpatronizing
-unravelled unraveled
-unravelling unraveling
-unrecognisable unrecognizable
-unrecognisably unrecognizably
-unrecognised unrecognized
-unrivalled unrivaled
-unsavoury unsavory
-untrammelled untrammeled
-urbanisation urbanization
-urbanised urbanized
-utilisation utilization
-utilised utilized
-utilise utilize
-utilising utilizing
-valour valor
-vandalised vandalized
-vandalise vandalize
-vandalising vandalizing
-vaporisability vaporizability
-vaporisable vaporizable
-vaporisation vaporization
-vaporised vaporized
-vaporise vaporize
-vaporising vaporizing
-vapours vapors
-vapour vapor
-verbalisation verbalization
-verbalised verbalized
-verbalise verbalize
-verbalising verbalizing
-victimisation victimization
-victimised victimized
-victimise victimize
-victimising victimizing
-vigour vigor
-vitalisation vitalization
-vitalised vitalized
-vitalise vitalize
-vitalising vitalizing
-vocalisation vocalization
-vocalised vocalized
-vocalise vocalize
-vocalising vocalizing
-volatilisability volatilizability
-volatilisable volatilizable
-volatilisation volatilization
-volatilised volatilized
-volatilise volatilize
-volatilising volatilizing
-vulcanisation vulcanization
-vulcanised vulcanized
-vulcanise vulcanize
-vulcanising vulcanizing
-watercolours watercolors
-watercolour watercolor
-weaselled weaseled
-weaselling weaseling
-womanised womanized
-womanise womanize
-womanising womanizing
-woollens woolens
-woollen woolen
-yodelled yodeled
-yodelling yodeling
-analogue analog
-dialogue dialog
-monologue monolog
-homologue homolog
-plough plow
-jewellery jewelry
-instalment installment
-enthrals enthralls
-appal appall
-enrolees enrollees
-hilary hillary
-enrolments enrollments
-enthral enthrall
-barbel barbell
-barbels barbells
-instil instill
-distils distills
-enrolment enrollment
-instils instills
-instalments installments
-distil distill
-enrols enrolls
-enrol enroll
-skulduggery skullduggery
-fulfil fulfill
-mum mom
-titbit tidbit
-titbits tidbits
-"""
+import re
+
+# What stands before -ise where that is no suffix (adverti-se, expertise, wise ...).
+NOT_ISE = frozenset(
+    """
+adv advert anyw appra ar bra bru chas chast chor circumc clockw compr comprom conc counterpo cr cru dem desp dev disenfranch disgu dispra edgew
+enfranch enterpr exc exerc expert franch gu improv inc lengthw lia likew mala marqu mayonna merchand no otherw parad perqu po porpo pra pract prec prem
+prom repr rev sem sunr superc superv surm surpr telev tort torto treat underw unw upra widthw crossw cer val mort
+""".split()
+)
+ISE = re.compile(r"is(ations?|ational(?:ly)?|abl[ey]|ability|ances?|ants?|ements?|ers?|ing(?:ly|s)?|ed(?:ly)?|es?)$")
+YSE = re.compile(r"(?<=[a-z]{3}l)ys(e[drs]?|ers|ing)$")
+# Stems before -our, -ll-, -re and -l, and stems with ae or oe, with their endings.
+OUR = re.compile(
+    "(arb|ard|arm|behavi|belab|lab|cand|clam|clang|col|meano?|emean|enam|endeav|fav|ferv|flav|harb|hon|hum|neighb|od|parl|ranc|rig|rum|savi|sav|splend|succ|tum|val|vap|vig)"
+    "our(s|ed|ing|ings|er|ers|y|ies|ful|fully|less|liness|ly|al|ally|ism|able|ably|ableness|ite|ites|itism|hood|hoods)?$"
+)
+LL = re.compile(
+    "(bedevi|beve|cance|caro|cavi|channe|chise|counci|counse|crue|cudge|devi|dia|disembowe|enthra|disheve|drive|due|ename|equa|fue|funne|gambo|grove|grue|imperi|initia|jewe|kenne"
+    "|labe|leve|libe|marsha|marve|mode|pane|parce|peda|penci|pumme|quarre|rave|reve|riva|shove|shrive|signa|snive|spira|stenci|swive|teetota|tota|towe|tramme|trave|tunne|wease|yode)"
+    "ll(ed|er|ers|ing|ist|ists|or|ors|ous|ously|ousness|est)$"
+)
+RE = re.compile("(theat|calib|lit|met|cent|fib|goit|lust|meag|mit|nit|reconnoit|sab|saltpet|scept|sepulch|somb|spect)re(s?)$")
+MOULD = re.compile("^(re|s)?mou(ld|lt)(s|ed|ing|ings|er|ers|y|ier|iest|ered|ering)?$")
+SINGLE_L = re.compile("^(enthra|appa|insti|disti|enro|fulfi)l(s|ment|ments)?$")
+LOGUE = re.compile("^(ana|dia|homo|mono)logue$")
+DIGRAPH = re.compile("^(aeon|aetiol|amoeb|anaem|anaesth|caec|caesi|coel|faec|foet|gynaec|haem|leukaem|oedem|oenol|oesoph|oestr|orthopaed|paed|palaeo|encyclopaed|diarrhoe|gonorrhoe)")
+RULES = ((OUR, r"\1or\2"), (LL, r"\1l\2"), (RE, r"\1er\2"), (MOULD, r"\1mo\2\3"), (SINGLE_L, r"\1ll\2"), (LOGUE, r"\1log"), (re.compile("^tranquilliz"), "tranquiliz"))
+# Spellings that no rule gives.
+SINGLE = dict(
+    pair.split(":")
+    for pair in """
+aluminium:aluminum blowsy:blowzy callipers:calipers chilli:chili cosier:cozier cosily:cozily curiae:curie faroes:fares manoeuvred:maneuvered manoeuvre:maneuver
+manoeuvring:maneuvering manoeuvrs:maneuvers marshalls:marshals woollens:woolens woollen:woolen plough:plow jewellery:jewelry instalment:installment
+instalments:installments enrolees:enrollees hilary:hillary barbel:barbell barbels:barbells skulduggery:skullduggery bourne:borne compere:compeer engravre:engraver
+""".split()
+)
+
+
+def common_form(word: str) -> str:
+    """The common form of a folded lower-case word; a word that no rule fits stays as it is."""
+    if word in SINGLE:
+        return SINGLE[word]
+    if m := ISE.search(word):
+        stem = word[: m.start()]
+        if len(stem) > 2 and stem not in NOT_ISE:
+            word = f"{stem}iz{m[1]}"
+    elif m := YSE.search(word):
+        return word[: m.start()] + "yz" + m[1]
+    for pattern, to in RULES:
+        if pattern.search(word):
+            return pattern.sub(to, word)
+    if m := DIGRAPH.match(word):
+        return re.sub("[ao]e", "e", m[0]) + word[m.end() :]
+    return word

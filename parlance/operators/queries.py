@@ -104,7 +104,7 @@ def recording_stats(spark: SparkSession, d: str) -> DataFrame:
 # ---- groups and splits
 
 # What stands in place of a speaker id but names nobody.
-NOBODY = "('', 'unknown', 'n/a')"
+NOBODY = "('', 'unknown', 'unk', 'n/a', 'na', 'n.a.', 'none', 'null', 'nil', '-', '--', '?', '??', 'tbd', 'anonymous')"
 GROUPS = f"""people AS (
   SELECT DISTINCT upper(trim(recording)) AS rec, lower(trim(speaker_id)) AS who FROM participants WHERE lower(trim(speaker_id)) NOT IN {NOBODY} AND trim(recording) <> ''),
 recs AS (SELECT upper(trim(recording)) AS rec, CAST(round(max(coalesce(duration, 0)) * 1000) AS BIGINT) AS ms, bool_or(coalesce(explicit_other_l1, false)) AS other FROM recordings WHERE trim(recording) <> '' GROUP BY 1),

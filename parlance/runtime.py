@@ -31,14 +31,20 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder in ``spark.checkpoint.dir``.
+    """Cuts the lineage through the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) a temporary folder is set.
+    A local session without one gets a temporary folder, as in tests; on a cluster that is an error, since
+    executors would write to folders of their own.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="parlance-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
