@@ -35,9 +35,30 @@ def trim_loop(ids: Column, loop: Column, keep: int = 1) -> Column:
     return F.when(loop.isNull(), ids).otherwise(F.slice(ids, 1, loop["start"] + loop["size"] * keep))
 
 
-def until(ids: Column, end: int) -> Column:
+def repaired(ids: Column, attempts: int = 5, keep: int = 1) -> Column:
+    """Struct (ids, kept) after up to ``attempts`` repairs; ``kept`` has the tokens that each left standing.
+
+    A repair rewinds to ``keep`` runs of the first loop and goes on with what follows the next run, as decoding
+    again would with another token; a loop that is left after the last attempt is cut off with all that follows.
+    """
+    kind = "struct<ids: array<string>, kept: array<int>>"
+
+    def step(state: Column, attempt: Column) -> Column:
+        now = state["ids"]
+        loop = first_loop(now, 1, 12, REPETITIONS)
+        end = loop["start"] + loop["size"] * keep
+        rest = F.when(attempt <= attempts, F.slice(now, end + loop["size"] + 1, F.size(now))).otherwise(F.array().cast("array<string>"))
+        cut = F.struct(F.concat(F.slice(now, F.lit(1), end), rest).alias("ids"), F.array_append(state["kept"], end).alias("kept"))
+        return F.when(loop.isNull(), state).otherwise(cut.cast(kind))
+
+    start = F.struct(ids.cast("array<string>").alias("ids"), F.array().cast("array<int>").alias("kept")).cast(kind)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(attempts + 1)), start, step)
+
+
+def until(ids: Column, end: Column | int) -> Column:
     """Tokens before the first ``end`` token."""
-    at = F.array_position(ids, F.lit(end))
+    end = end if isinstance(end, Column) else F.lit(end)
+    at = F.array_position(ids, end)
     return F.when(at > 0, F.slice(ids, F.lit(1), (at - 1).cast("int"))).otherwise(ids)
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Order of splits, policy marks, and the fields of public predictions.
 SPLIT_RANK = {"train": 0, "validation": 1, "test": 2}
 POLICY_MARKS = {"verbatim": "<|ovw_verbatim|>", "intended": "<|ovw_intended|>"}
-PUBLIC = "system mode corpus example_id blind_id reference hypothesis loop_repairs".split()
+PUBLIC = """
+example_id blind_id analysis_eligible country state council_name video_id video_title clip_start_seconds clip_end_seconds duration_seconds
+youtube_url_at_target stratum boundary_status overlap audio_quality reference hypothesis loop_repairs system mode
+""".split()
 #: Padding of cut clips, in milliseconds.
 PADDING_MS = 150
 
@@ -37,6 +40,16 @@ def has_overlap(df: DataFrame) -> Column:
     return F.coalesce(F.col("overlap_seconds") > 0, F.array_contains("flags", "temporal_overlap"), F.lit(False))
 
 
+def has_token_overlap() -> Column:
+    """Overlap by overlapped tokens, or by flag."""
+    return (F.coalesce("overlap_token_count", F.lit(0)) != 0) | F.coalesce(F.array_contains("flags", "overlap"), F.lit(False))
+
+
+def alphabetical_order(df: DataFrame) -> DataFrame:
+    """Rows by split, corpus and id in alphabetical order."""
+    return df.orderBy("split", "corpus", "example_id")
+
+
 def unpadded(df: DataFrame, start: str = "start_ms", end: str = "end_ms", padding_ms: int = PADDING_MS) -> DataFrame:
     """Bounds without the padding on both sides; an empty rest is an error."""
     a, b = F.col(start) + padding_ms, F.col(end) - padding_ms
@@ -64,8 +77,22 @@ def public_fields(df: DataFrame, fields: Sequence[str] = PUBLIC) -> DataFrame:
     return df.select(*[c for c in fields if c in df.columns])
 
 
+def public_lines(spark: SparkSession, source: str, target: str, fields: Sequence[str] = PUBLIC) -> None:
+    """JSON lines with the listed fields only, in sorted order; a field that a line lacks is left out, a null one stays. Blank lines are skipped."""
+    rows = spark.read.text(source).where("trim(value) <> ''").select(F.try_parse_json("value").alias("v"), "value")
+    keep = F.filter(F.json_object_keys("value"), lambda k: k.isin(*fields))
+    entries = F.transform(F.array_sort(keep), lambda k: F.concat(F.to_json(F.struct(k.alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(k.alias("k")))) - 6), F.lit(":"), F.to_json(F.try_variant_get("v", F.concat(F.lit("$['"), k, F.lit("']")), "variant"))))
+    rows.select(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("value")).write.text(target)
+
+
 # ---- checks
 
+def clip_verdict(rate: Column, channels: Column, seconds: Column, wanted: Column, want_rate: int, longest: float) -> Column:
+    """'rate', 'channels', 'too long', 'duration' (off by more than a sample and a half) or 'ok' of a cut clip."""
+    off = F.abs(seconds - wanted) > 1.5 / want_rate
+    return F.when(rate != want_rate, "rate").when(channels != 1, "channels").when(seconds > longest, "too long").when(off, "duration").otherwise("ok")
+
+
 def split_leaks(df: DataFrame, key: str = "recording") -> DataFrame:
     """Keys with rows in more than one split."""
     return df.where(F.col("split").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1)
@@ -109,6 +136,13 @@ def map_totals(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(column).alias("name", "v")).groupBy("name").agg(F.sum("v").alias("total"))
 
 
+def change_counts(df: DataFrame, by: Sequence[str], key: str, before: str, after: str) -> DataFrame:
+    """Rows by group whose text changed and did not, and the sorted keys of those without a text after it."""
+    same = F.col(before).eqNullSafe(F.col(after))
+    empty = F.coalesce(F.trim(after), F.lit("")) == ""
+    return df.groupBy(*by).agg(F.count_if(~same).alias("changed"), F.count_if(same).alias("unchanged"), F.array_sort(F.collect_list(F.when(empty, F.col(key)))).alias("fallback"))
+
+
 # ---- order
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

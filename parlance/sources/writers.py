@@ -44,6 +44,32 @@ def summary_json(df: DataFrame) -> str:
     return json.dumps(rows[0].asDict(recursive=True), indent=2, sort_keys=True, ensure_ascii=False, default=str)
 
 
+def write_texts(texts: DataFrame, folder: str, ending: str) -> DataFrame:
+    """Writes (name, body) as files of their own into a shared folder; returns (name, bytes)."""
+    folder = folder.removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for name, body in zip(b["name"], b["body"], strict=True):
+                data, target = body.encode("utf-8"), os.path.join(folder, f"{name}{ending}")
+                _put(target, data)
+                out.append((name, len(data)))
+            yield pd.DataFrame(out, columns=["name", "bytes"])
+
+    return texts.select("name", "body").mapInPandas(run, "name string, bytes long")
+
+
+def _put(target: str, data: bytes) -> None:
+    """Written beside and renamed, so that a task that runs twice leaves whole files."""
+    with open(f"{target}.{os.getpid()}", "wb") as f:
+        f.write(data)
+    os.replace(f"{target}.{os.getpid()}", target)
+
+
 def write_wav(clips: DataFrame, folder: str) -> DataFrame:
     """Writes (example_id, rate, samples) as 16-bit WAV files into a shared folder; returns (example_id, bytes)."""
 
@@ -60,11 +86,7 @@ def write_wav(clips: DataFrame, folder: str) -> DataFrame:
                     w.setsampwidth(2)
                     w.setframerate(int(rate))
                     w.writeframes(pcm.tobytes())
-                # written beside and renamed, so that a task that runs twice leaves whole files
-                target = os.path.join(folder, f"{key}.wav")
-                with open(f"{target}.{os.getpid()}", "wb") as f:
-                    f.write(buffer.getvalue())
-                os.replace(f"{target}.{os.getpid()}", target)
+                _put(os.path.join(folder, f"{key}.wav"), buffer.getvalue())
                 out.append((key, len(buffer.getvalue())))
             yield pd.DataFrame(out, columns=["example_id", "bytes"])
 
