@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,21 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize, tokens
-from ..functions.lexicon import FILLERS_WIDE, SMALL_FORMS
+from ..functions.lexicon import FILLERS_WIDE
 from ..functions.align import align
 from ..operators import blocks, bootstrap, loops, scoring
 from ..runtime import ship, slots, table
 from . import manifests as M
+from . import scoring_sql as sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(text: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if text:
+            SQL[f.__name__] = text
         return f
 
     return add
@@ -60,44 +60,8 @@ def bench(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- word errors
 
-# Alignment in SQL: a matrix row by row, each cell one number of cost (from bit 48), how it was reached (46: diagonal,
-# deletion, insertion, in this order), substitutions (36) and true positives of four kinds (27, 18, 9, 0).
-_UNIT = 1 << 48
-_EVENT_BITS = "CASE WHEN list_contains([{fillers}], t) THEN 134217728 ELSE 0 END + CASE WHEN t[-1] = '-' THEN 262144 ELSE 0 END + CASE WHEN list_contains([{small}], t) THEN 1 ELSE 0 END"
-
-
-def aligned_sql(source: str, fillers: list[str]) -> str:
-    """CTEs that align r and h of ``source`` (pred_id, system, r, h): rows of counts named ``al``."""
-    quoted = lambda w: ", ".join(f"'{x}'" for x in w)
-    bits = _EVENT_BITS.format(fillers=quoted(fillers), small=quoted(SMALL_FORMS))
-    row = f"list_transform({{0}}, lambda t, i: [CAST(hash(t) // 4 AS BIGINT), CASE WHEN i > 1 AND {{0}}[i - 1] = t THEN 1 ELSE 0 END, CAST({bits} AS BIGINT)])"
-    inner = f"""list_reduce(hc, lambda a, y: list_append(a, least(
-      acc[len(a)] + CASE WHEN y[1] = x[1] THEN x[3] + CASE WHEN x[2] = 1 AND y[2] = 1 THEN 512 ELSE 0 END ELSE {_UNIT + (1 << 36)} END,
-      acc[len(a) + 1] + {_UNIT + (1 << 46)}, a[len(a)] + {_UNIT + (2 << 46)}) & {~(3 << 46)}), [acc[1] + {_UNIT}])"""
-    count = lambda side, what: f"len(list_filter({side}, lambda x: {what}))"
-    kinds = {"fillers": "(x[3] // 134217728) % 512 > 0", "fragments": "(x[3] // 262144) % 512 > 0", "repetitions": "x[2] = 1", "small_forms": "x[3] % 512 > 0"}
-    shift = {"fillers": 27, "fragments": 18, "repetitions": 9, "small_forms": 0}
-    events = ", ".join(f"{count('rc', w)} AS {k}_ref, {count('hc', w)} AS {k}_hyp, (v >> {shift[k]}) & 511 AS {k}_tp" for k, w in kinds.items())
-    return f"""co AS (SELECT pred_id, system, {row.format("r")} AS rc, {row.format("h")} AS hc FROM {source}),
-ma AS (SELECT pred_id, system, rc, hc, list_reduce(rc, lambda acc, x: {inner}, list_transform(range(0, len(hc) + 1), lambda j: CAST(j AS BIGINT) * {_UNIT}))[-1] AS v FROM co),
-al AS (SELECT pred_id, system, len(rc) AS units, (v >> 36) & 1023 AS subs, ((v >> 48) - ((v >> 36) & 1023) + len(rc) - len(hc)) // 2 AS dels, ((v >> 48) - ((v >> 36) & 1023) - len(rc) + len(hc)) // 2 AS ins, {events} FROM ma)"""
-
-
-_TOKENS = "regexp_extract_all(replace(lower({0}), '’', ''''), '[a-z0-9]+(?:[''’][a-z0-9]+)*(?:-[a-z0-9]+(?:[''’][a-z0-9]+)*)*-?')"
 _HYP = "coalesce(hypothesis, '')"
-#: Compatibility forms of single ASCII letters, digits and apostrophes, by rule, and of ligatures.
-_FORMS = [(c, n) for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]) if len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii() and n.isalnum()]
-_LIGATURES = [(c, unicodedata.normalize("NFKC", c)) for c in map(chr, range(0xFB00, 0xFB07))]
-
-
-def folded_sql(text: str) -> str:
-    """Compatibility forms of letters and digits unified and composed, as far as tokens of ASCII letters show it."""
-    out = f"translate({text}, '{''.join(c for c, _ in _FORMS)}', '{''.join(n for _, n in _FORMS)}')"
-    for c, n in _LIGATURES:
-        out = f"replace({out}, '{c}', '{n}')"
-    return f"nfc_normalize({out})"
-
-
+_TOKENS = "regexp_extract_all(replace(lower({0}), '’', ''''), '[a-z0-9]+(?:[''’][a-z0-9]+)*(?:-[a-z0-9]+(?:[''’][a-z0-9]+)*)*-?')"
 PAIRS = f"""p AS (
   SELECT DISTINCT pred_id, system, corpus, blind_id, {_TOKENS.format("reference")} AS r, {_TOKENS.format("coalesce(hypothesis, '')")} AS h
   FROM predictions WHERE reference IS NOT NULL),
@@ -143,7 +107,7 @@ def wer_macro(spark, d):
     return c.groupBy("system").agg(F.round(F.avg("wer"), 12).alias("macro_wer"), F.count(F.lit(1)).alias("n_corpora"))
 
 
-@query(f"WITH p AS (SELECT DISTINCT pred_id, system, corpus, blind_id, {_TOKENS.format('reference')} AS r, {_TOKENS.format(_HYP)} AS h FROM predictions WHERE reference IS NOT NULL), {aligned_sql('p', FILLERS_WIDE)} SELECT system, CAST(sum(units) AS BIGINT) AS units, CAST(sum(subs) AS BIGINT) AS subs, CAST(sum(dels) AS BIGINT) AS dels, CAST(sum(ins) AS BIGINT) AS ins FROM al GROUP BY system")
+@query(f"WITH p AS (SELECT DISTINCT pred_id, system, mode, corpus, {_TOKENS.format('reference')} AS r, {_TOKENS.format(_HYP)} AS h FROM predictions WHERE reference IS NOT NULL), {sql.aligned('p', FILLERS_WIDE)} SELECT system, CAST(sum(units) AS BIGINT) AS units, CAST(sum(subs) AS BIGINT) AS subs, CAST(sum(dels) AS BIGINT) AS dels, CAST(sum(ins) AS BIGINT) AS ins FROM al GROUP BY system")
 def sdi_counts(spark, d):
     return word_errors(spark, d).groupBy("system").agg(*[F.sum(c).alias(c) for c in ("units", "subs", "dels", "ins")])
 
@@ -163,17 +127,17 @@ def canonical_scores(spark, d, *parts: str) -> DataFrame:
     return scoring.scored(predictions(ship(spark), d, spread=True), ["pred_id", "system", "mode", "corpus", "blind_id"], parts=parts)
 
 
-@query()
+@query(f"{sql.scored()} SELECT system, mode, count(*) AS examples, count(*) FILTER (unclear > 0) AS examples_with_unclear, CAST(sum(unclear) AS BIGINT) AS unclear_units, {', '.join(f'{r} AS {p}_rate' for p, r in sql.RATES)} FROM e GROUP BY system, mode")
 def canonical_report(spark, d):
     return scoring.report(canonical_scores(spark, d, "verbatim", "conventional", "cer"), ["system", "mode"])
 
 
-@query()
+@query(sql.one("verbatim", " " + sql.micro("al", "system")))
 def masked_sdi_counts(spark, d):
     return scoring.micro(canonical_scores(spark, d, "verbatim"), ["system"], "verbatim")
 
 
-@query()
+@query(sql.one("conventional", " " + sql.micro("al", "system")))
 def conventional_wer(spark, d):
     return scoring.micro(canonical_scores(spark, d, "conventional"), ["system"], "conventional")
 
@@ -183,25 +147,22 @@ def cer(spark, d):
     return scoring.micro(canonical_scores(spark, d, "cer").where("cer_units IS NOT NULL"), ["system"], "cer")
 
 
-@query()
+@query(sql.one("verbatim", f", {sql.events('al', True)} SELECT * FROM ev"))
 def event_prf(spark, d):
     return scoring.event_rates(canonical_scores(spark, d, "events"), ["system"])
 
 
-@query(f"""WITH p AS (SELECT DISTINCT pred_id, system, {_TOKENS.format(folded_sql('reference'))} AS r, {_TOKENS.format(folded_sql(_HYP))} AS h FROM (SELECT DISTINCT pred_id, system, mode, corpus, example_id, blind_id, reference, hypothesis FROM predictions) WHERE reference IS NOT NULL), {aligned_sql('p', FILLERS_WIDE)},
-k AS ({" UNION ALL ".join(f"SELECT system, '{k}' AS kind, CAST(sum({k}_ref) AS BIGINT) AS reference, CAST(sum({k}_hyp) AS BIGINT) AS hypothesis, CAST(sum({k}_tp) AS BIGINT) AS true_positive FROM al GROUP BY system" for k in scoring.KINDS)}),
-q AS (SELECT *, CASE WHEN hypothesis = 0 THEN 0.0 ELSE true_positive / hypothesis END AS precision, CASE WHEN reference = 0 THEN 0.0 ELSE true_positive / reference END AS recall FROM k)
-SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM q""")
+@query(f"""WITH p AS (SELECT DISTINCT pred_id, system, mode, corpus, example_id, blind_id, {_TOKENS.format(sql.folded('reference'))} AS r, {_TOKENS.format(sql.folded(_HYP))} AS h FROM predictions WHERE reference IS NOT NULL), {sql.aligned('p', FILLERS_WIDE)}, {sql.events('al', False)} SELECT * FROM ev""")
 def event_prf_lexical(spark, d):
     return scoring.event_rates(scoring.scored(predictions(ship(spark), d, spread=True), ["pred_id", "system"], lexical=True), ["system"], nullable=False)
 
 
-@query()
+@query(sql.one("conventional", f", c AS ({sql.micro('al', 'system, corpus')}) SELECT system, avg(error_rate) AS macro_rate, count(*) AS n_groups FROM c GROUP BY system"))
 def conventional_macro(spark, d):
     return scoring.macro(canonical_scores(spark, d, "conventional"), ["system"], "corpus", "conventional")
 
 
-@query()
+@query(f"WITH {sql.start()} SELECT DISTINCT pred_id, coalesce(verbatim, []) AS verbatim, coalesce(conventional, []) AS conventional FROM predictions LEFT JOIN ct ON t = reference")
 def canonical_tokens(spark, d):
     return predictions(ship(spark), d, spread=True).select("pred_id", tokens.canonical_tokens_column(F.col("reference")).alias("verbatim"), tokens.canonical_tokens_column(F.col("reference"), True).alias("conventional"))
 
@@ -520,7 +481,7 @@ def sequence_index(spark, d):
 
 # ---- further forms
 
-@query()
+@query(f"{sql.scored()} SELECT system, count(*) AS examples, CAST(sum(unclear) AS BIGINT) AS unclear_units, {', '.join(f'round({r} * 100, 3) AS {p}_percent' for p, r in sql.RATES)} FROM e GROUP BY system")
 def comparison_percent(spark, d):
     """One row per system, rates in percent, as published comparisons give them."""
     r = scoring.report(canonical_scores(spark, d, "verbatim", "conventional", "cer"), ["system"])
@@ -535,7 +496,7 @@ def batches(spark, d):
     return n.select("pred_id", F.floor(F.col("n") / 16).alias("batch"))
 
 
-@query()
+@query(f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(reference), '[a-z]+')) AS w FROM predictions) SELECT * FROM (SELECT w AS word, {sql.canonical_word('w')} AS canonical FROM w) WHERE canonical <> word")
 def spelling_forms(spark, d):
     """Words of references whose canonical spelling differs."""
     words = predictions(ship(spark), d).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("reference"), F.lit("[a-z]+"), F.lit(0)))).alias("word")).distinct()
