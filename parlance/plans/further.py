@@ -10,22 +10,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import parse
-from ..operators import loops
+from ..functions import normalize, parse
+from ..functions.lexicon import FILLERS_WIDE
+from ..operators import loops, scoring
 from ..runtime import ship, shared_folder, table
 from ..sources import readers, writers
 from . import manifests as M
-from .queries import CHUNKS, chunks
+from . import scoring_sql as sql
+from .queries import CHUNKS, canonical_scores, chunks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(text: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if text:
+            SQL[f.__name__] = text
         return f
 
     return add
@@ -243,3 +245,47 @@ def participant_lines(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws("|", F.lit("@ID:\teng"), F.lit("corpus"), "code", "age", "sex", F.lit(""), F.lit(""), "role", F.lit(""), "other_l1", F.lit(""))
     files = p.groupBy("recording").agg(F.concat(F.lit("@Participants:\t"), F.array_join(F.collect_set(F.concat_ws(" ", "code", F.lit("Speaker"))), ", "), F.lit("\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n@Comment:\tnone")).alias("text"))
     return parse.participants_of(files, "recording", "text")
+
+
+# ---- scores and intended text once more, as far as SQL can follow
+
+@query(f"{sql.scored()} SELECT system, count(*) AS examples, CAST(sum(xu) AS BIGINT) AS units, CAST(sum(xe) AS BIGINT) AS errors, sum(xe) / greatest(sum(xu), 1) AS error_rate FROM e WHERE unclear = 0 GROUP BY system")
+def cer_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Character errors of predictions whose reference has no unclear words."""
+    s = canonical_scores(spark, d, "cer").where("cer_units IS NOT NULL")
+    m = scoring.micro(s, ["system"], "cer")
+    return m.select("system", "examples", "units", (F.col("subs") + F.col("dels") + F.col("ins")).alias("errors"), "error_rate")
+
+
+_EVENT = r"(?i)\[(?:laugh(?:ter|s|ing)?|noise|cough(?:ing)?|breath(?:ing)?|sneeze|sigh|music|inaudible|vocali[sz]ation)[^\]]*\]"
+_SAID = "[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)*(?:-[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)*)*-?"
+_WIDTH = " ".join(f"WHEN len(l) - i + 1 >= {2 * w} AND low[i : i + {w - 1}] = low[i + {w} : i + {2 * w - 1}] THEN {w}" for w in (4, 3, 2, 1))
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT DISTINCT example_id, text FROM chunks),
+f AS (SELECT example_id, text, replace({sql.folded("coalesce(text, '')")}, '’', '''') AS x FROM c),
+g AS (SELECT example_id, text, len(regexp_extract_all(x, '{_EVENT}')) AS events, regexp_extract_all(regexp_replace(x, '{_EVENT}', ' ', 'g'), '{_SAID}') AS t FROM f),
+h AS (SELECT *, list_filter(t, lambda w: NOT list_contains([{sql._quoted(FILLERS_WIDE)}], lower(w))) AS u FROM g),
+s AS (SELECT *, list_filter(u, lambda w: w[-1] <> '-') AS v FROM h),
+k AS (SELECT *, list_filter(v, lambda w, i: NOT (length(w) = 1 AND lower(w) NOT IN ('a', 'i') AND (coalesce(starts_with(lower(v[i + 1]), lower(w)), false) OR coalesce(starts_with(lower(v[i + 2]), lower(w)), false)))) AS kept FROM s),
+r AS (
+  SELECT example_id, text, kept AS l, list_transform(kept, lambda w: lower(w)) AS low, 1 AS i, len(kept) AS was, 0 AS repeats, false AS done FROM k
+  UNION ALL
+  SELECT example_id, text, CASE WHEN n IS NULL THEN l ELSE l[1 : i + n - 1] || l[i + 2 * n :] END, CASE WHEN n IS NULL THEN low ELSE low[1 : i + n - 1] || low[i + 2 * n :] END,
+    CASE WHEN i > len(l) THEN 1 WHEN n IS NULL THEN i + 1 ELSE i END, CASE WHEN i > len(l) THEN len(l) ELSE was END, repeats + CASE WHEN n IS NULL THEN 0 ELSE 1 END, i > len(l) AND was = len(l)
+  FROM (SELECT *, CASE {_WIDTH} END AS n FROM r WHERE NOT done))
+SELECT k.example_id, CASE WHEN len(l) = 0 THEN k.text ELSE array_to_string(l, ' ') END AS intended_text, CAST(events AS INT) AS events, CAST(len(t) - len(u) AS INT) AS fillers, CAST(len(u) - len(v) AS INT) AS fragments, CAST(len(v) - len(kept) AS INT) AS repairs, CAST(repeats AS INT) AS repeats
+FROM k JOIN r ON r.example_id = k.example_id AND r.text IS NOT DISTINCT FROM k.text WHERE done""")
+def intended_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Intended texts with what was taken away: events, fillers, fragments, one-letter starts and repeats."""
+    c = table(ship(spark), d, "chunks").select("example_id", "text").distinct().withColumn("x", normalize.intended_column(F.col("text")))
+    n = lambda *names: sum((F.coalesce(F.col("x.operations")[x], F.lit(0)) for x in names), F.lit(0)).cast("int")
+    return c.select(
+        "example_id",
+        F.when(F.col("x.text") == "", F.col("text")).otherwise(F.col("x.text")).alias("intended_text"),
+        n("bracketed_event").alias("events"),
+        n("filler").alias("fillers"),
+        n("marked_fragment").alias("fragments"),
+        n("single_letter_repair").alias("repairs"),
+        n(*(f"repeat_span_{w}" for w in (1, 2, 3, 4))).alias("repeats"),
+    )

@@ -7,13 +7,13 @@ import unicodedata
 from ..functions import spellings
 from ..functions.lexicon import BRACKETED_WORDS, CANONICAL, CLITIC_S, FILLERS, NASAL_VARIANTS, NOT_SPELLING, SMALL_FORMS, UNCLEAR
 
-#: Compatibility forms of single ASCII letters and digits, by rule, and of ligatures.
+#: Compatibility forms of single ASCII letters and digits, by rule, and of fractions and ligatures.
 _FORMS = [
     (c, n)
     for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)])
     if len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii() and n.isalnum()
 ]
-_LIGATURES = [(c, unicodedata.normalize("NFKC", c)) for c in map(chr, range(0xFB00, 0xFB07))]
+_LIGATURES = [(c, unicodedata.normalize("NFKC", c)) for c in map(chr, [*range(0xBC, 0xBF), *range(0x2150, 0x215F), *range(0xFB00, 0xFB07)])]
 
 # An alignment's matrix is made row by row, each cell one number of cost (from bit 48), how it was reached (46: diagonal,
 # deletion, insertion, in this order), substitutions (37), masks without a word (32) and true positives of four kinds.
