@@ -1,7 +1,9 @@
 """Timed units into chunks: greedy grouping, overlap of speakers and quality tiers.
 
-A pause longer than ``max_gap`` always closes a chunk, whatever stands before it, so a recording falls
-into islands that are grouped independently; no recording is held in one task.
+Greedy grouping is sequential, but what a block of ten minutes does to it is a small table: which unit opens the
+block's first chunk depends only on the start of the chunk that is open, and all else follows. The tables of a
+recording are composed, one row for each block, and then every block is grouped by itself; no recording, and no
+stretch without pauses, is held in one task.
 """
 
 from __future__ import annotations
@@ -39,15 +41,72 @@ def lexical(units: DataFrame, max_span_ms: int = MAX_SPAN_MS) -> DataFrame:
     return units.where(F.col("worded") & (F.col("end_ms") - F.col("start_ms") <= max_span_ms) & ~F.col("speaker").isin(*NOT_PEOPLE))
 
 
-def _greedy(max_span_ms: int):
-    @F.pandas_udf("array<int>")
-    def run(starts: pd.Series, ends: pd.Series) -> pd.Series:
+def _next_opens(s: list[int], e: list[int], opens: list[int], max_span_ms: int) -> list[int]:
+    """For each unit, if it opens a chunk, the unit that opens the next one; the number of units where none does."""
+    n, out = len(s), []
+    for i in range(n):
+        k = i + 1
+        while k < n and not opens[k] and e[k] - s[i] <= max_span_ms:
+            k += 1
+        out.append(k)
+    return out
+
+
+_TABLE = "struct<limits: array<bigint>, counts: array<int>, lasts: array<bigint>>"
+
+
+def _tables(max_span_ms: int):
+    @F.pandas_udf(_TABLE)
+    def run(starts: pd.Series, ends: pd.Series, opens: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s, e, o in zip(*(x.map(list) for x in (starts, ends, opens)), strict=True):
+            following = _next_opens(s, e, o, max_span_ms)
+            n = len(s)
+            count, last = [0] * (n + 1), [0] * (n + 1)
+            for i in range(n - 1, -1, -1):
+                k = following[i]
+                count[i] = 1 + (count[k] if k < n else 0)
+                last[i] = last[k] if k < n else s[i]
+            # the first unit to open is the first that ends beyond the open chunk's reach, or follows a pause
+            limits, counts, lasts, reach = [], [], [], None
+            for i in range(n):
+                if o[i] or reach is None or e[i] > reach:
+                    reach = e[i] if reach is None else max(reach, e[i])
+                    # an open chunk began before this block, so its reach is bounded
+                    sure = o[i] or reach > s[0] + max_span_ms
+                    limits.append((1 << 62) if sure else reach)
+                    counts.append(count[i])
+                    lasts.append(last[i])
+                    if sure:
+                        break
+            rows.append((limits, counts, lasts))
+        return pd.DataFrame(rows, columns=["limits", "counts", "lasts"])
+
+    return run
+
+
+def _composed(max_span_ms: int):
+    def run(key: tuple, blocks_of: pd.DataFrame) -> pd.DataFrame:
+        first, chunks, out = None, 0, []
+        for b, limits, counts, lasts in blocks_of.sort_values("_b")[["_b", "limits", "counts", "lasts"]].itertuples(index=False):
+            out.append((key[0], b, first, chunks))
+            at = 0 if first is None else next((k for k, x in enumerate(limits) if x > first + max_span_ms), None)
+            if at is not None:
+                first, chunks = int(lasts[at]), chunks + int(counts[at])
+        return pd.DataFrame(out, columns=["recording", "_b", "_first", "_ahead"]).astype({"_first": "Int64"})
+
+    return run
+
+
+def _numbered(max_span_ms: int):
+    @F.pandas_udf("array<bigint>")
+    def run(starts: pd.Series, ends: pd.Series, opens: pd.Series, first: pd.Series, ahead: pd.Series) -> pd.Series:
         out = []
-        for s, e in zip(starts, ends, strict=True):
-            first, n, seq = None, -1, []
-            for a, b in zip(s.tolist(), e.tolist(), strict=True):
-                if first is None or b - first > max_span_ms:
-                    first, n = a, n + 1
+        for s, e, o, f, n in zip(starts, ends, opens, first, ahead, strict=True):
+            f, n, seq = None if pd.isna(f) else int(f), int(n) - 1, []
+            for a, b, x in zip(s.tolist(), e.tolist(), o.tolist(), strict=True):
+                if x or f is None or b - f > max_span_ms:
+                    f, n = a, n + 1
                 seq.append(n)
             out.append(seq)
         return pd.Series(out, dtype=object)
@@ -56,24 +115,22 @@ def _greedy(max_span_ms: int):
 
 
 def assign_chunks(units: DataFrame, max_span_ms: int = MAX_SPAN_MS, max_gap_ms: int = MAX_GAP_MS) -> DataFrame:
-    """(unit_id, recording, speaker, start_ms, end_ms, island, chunk) of lexical units; chunks count from 0 in a recording.
+    """(unit_id, recording, speaker, start_ms, end_ms, chunk) of lexical units; chunks count from 0 in a recording.
 
     A chunk closes when the unit would end more than ``max_span_ms`` after its first start, or begins more
     than ``max_gap_ms`` after the last appended unit's end. Texts stay where they are; only times move, and go
-    through Python. Islands are written once, as their chunks are counted before they are numbered.
+    through Python. Blocks are written once, as their tables are composed before they are grouped.
     """
     order = ["start_ms", "end_ms", "speaker", "unit_id"]
     u = units.select("unit_id", "recording", "speaker", "start_ms", "end_ms", F.floor(F.col("start_ms") / BLOCK_MS).alias("_b"))
-    u = blocks.previous(u, ["recording"], order, F.col("_b"), "end_ms", "_prev").withColumn("_opens", F.when(F.col("_prev").isNull() | (F.col("start_ms") - F.col("_prev") > max_gap_ms), 1).otherwise(0))
-    u = blocks.running_sum(u, ["recording"], order, F.col("_b"), "_opens", "island")
-    packed = u.groupBy("recording", "island").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("us"))
-    times = lambda c: F.transform("us", lambda x: x[c])
-    packed = checkpointed(packed.withColumn("seq", _greedy(max_span_ms)(times("start_ms"), times("end_ms"))))
-    # chunks numbered through the recording
-    heads = packed.select("recording", "island", (F.element_at("seq", -1) + 1).alias("_chunks"))
-    heads = blocks.running_sum(heads, ["recording"], ["island"], F.floor(F.col("island") / 1_000), "_chunks", "_upto").select("recording", "island", (F.col("_upto") - F.col("_chunks")).alias("_ahead"))
-    rows = packed.join(heads, ["recording", "island"]).select("recording", "island", "_ahead", F.explode(F.arrays_zip("us", "seq")).alias("x"))
-    return rows.select("x.us.unit_id", "recording", "x.us.speaker", "x.us.start_ms", "x.us.end_ms", "island", (F.col("_ahead") + F.col("x.seq")).cast("bigint").alias("chunk"))
+    u = blocks.previous(u, ["recording"], order, F.col("_b"), "end_ms", "_prev").withColumn("opens", F.when(F.col("_prev").isNull() | (F.col("start_ms") - F.col("_prev") > max_gap_ms), 1).otherwise(0))
+    packed = u.groupBy("recording", "_b").agg(F.array_sort(F.collect_list(F.struct(*order, "opens"))).alias("us"))
+    fields = [F.col(f"us.{c}") for c in ("start_ms", "end_ms", "opens")]
+    packed = checkpointed(packed.withColumn("_t", _tables(max_span_ms)(*fields)))
+    heads = packed.select("recording", "_b", "_t.*").groupBy("recording").applyInPandas(_composed(max_span_ms), "recording string, _b bigint, _first bigint, _ahead bigint")
+    seq = _numbered(max_span_ms)(*fields, F.col("_first"), F.col("_ahead"))
+    rows = packed.join(heads, ["recording", "_b"]).select("recording", "us", seq.alias("seq")).select("recording", F.explode(F.arrays_zip("us", "seq")).alias("x"))
+    return rows.select("x.us.unit_id", "recording", "x.us.speaker", "x.us.start_ms", "x.us.end_ms", F.col("x.seq").cast("bigint").alias("chunk"))
 
 
 def merge_tails(chunked: DataFrame, least_ms: int = 4_000, max_span_ms: int = MAX_SPAN_MS) -> DataFrame:

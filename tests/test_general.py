@@ -43,6 +43,18 @@ def test_chunks(spark, seed, monkeypatch):
     assert got == want
 
 
+def test_chunks_without_pauses(spark, monkeypatch):
+    """One stretch over many blocks, in which chunks run across the blocks' edges."""
+    monkeypatch.setattr(segment, "BLOCK_MS", 40_000)
+    r, rows, t = random.Random(9), [], 0
+    for i in range(1_500):
+        t += r.choice([0, 300, 900])
+        rows.append((i, "A", r.choice("XYZ"), t, t + r.choice([200, 3_000, 27_000])))
+    df = spark.createDataFrame(rows, "unit_id long, recording string, speaker string, start_ms long, end_ms long")
+    assert {x["unit_id"]: x["chunk"] for x in segment.assign_chunks(df).collect()} == greedy(rows)
+    assert segment.assign_chunks(df.limit(0)).count() == 0
+
+
 def test_overlap_and_tiers(spark):
     rows = [(1, "A", "X", 0, 1000, "a", []), (2, "A", "Y", 500, 1500, "b", ["unintelligible"]), (3, "A", "X", 900, 1200, "c", []), (4, "A", "X", 60_000, 61_000, "d", [])]
     df = spark.createDataFrame([(*x, 0) for x in rows], "unit_id long, recording string, speaker string, start_ms long, end_ms long, text string, flags array<string>, chunk int").withColumn("chunk", F.when(F.col("unit_id") == 4, 1).otherwise(0))
