@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import checkpointed
-from . import blocks
 
 MAX_SPAN_MS, MAX_GAP_MS = 27_500, 3_000
 BLOCK_MS = 600_000
@@ -41,71 +40,74 @@ def lexical(units: DataFrame, max_span_ms: int = MAX_SPAN_MS) -> DataFrame:
     return units.where(F.col("worded") & (F.col("end_ms") - F.col("start_ms") <= max_span_ms) & ~F.col("speaker").isin(*NOT_PEOPLE))
 
 
-def _next_opens(s: list[int], e: list[int], opens: list[int], max_span_ms: int) -> list[int]:
-    """For each unit, if it opens a chunk, the unit that opens the next one; the number of units where none does."""
-    n, out = len(s), []
-    for i in range(n):
-        k = i + 1
-        while k < n and not opens[k] and e[k] - s[i] <= max_span_ms:
-            k += 1
-        out.append(k)
-    return out
+def _pauses(s: list[int], e: list[int], max_gap_ms: int) -> list[bool]:
+    """Whether a pause above the limit stands before each unit of a block, the first one aside."""
+    return [False, *(b - a > max_gap_ms for a, b in zip(e, s[1:], strict=False))]
 
 
-_TABLE = "struct<limits: array<bigint>, counts: array<int>, lasts: array<bigint>>"
+#: Stands for the start of an open chunk where a block's first unit opens one.
+_OPENS = -(1 << 62)
+_TABLE = "struct<limits: array<bigint>, counts: array<bigint>, lasts: array<bigint>>"
 
 
-def _tables(max_span_ms: int):
+def _tables(max_span_ms: int, max_gap_ms: int):
     @F.pandas_udf(_TABLE)
-    def run(starts: pd.Series, ends: pd.Series, opens: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s, e, o in zip(*(x.map(list) for x in (starts, ends, opens)), strict=True):
-            following = _next_opens(s, e, o, max_span_ms)
-            n = len(s)
-            count, last = [0] * (n + 1), [0] * (n + 1)
-            for i in range(n - 1, -1, -1):
-                k = following[i]
-                count[i] = 1 + (count[k] if k < n else 0)
-                last[i] = last[k] if k < n else s[i]
-            # the first unit to open is the first that ends beyond the open chunk's reach, or follows a pause
-            limits, counts, lasts, reach = [], [], [], None
-            for i in range(n):
-                if o[i] or reach is None or e[i] > reach:
-                    reach = e[i] if reach is None else max(reach, e[i])
-                    # an open chunk began before this block, so its reach is bounded
-                    sure = o[i] or reach > s[0] + max_span_ms
-                    limits.append((1 << 62) if sure else reach)
-                    counts.append(count[i])
-                    lasts.append(last[i])
-                    if sure:
-                        break
-            rows.append((limits, counts, lasts))
-        return pd.DataFrame(rows, columns=["limits", "counts", "lasts"])
+    def run(starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_table(s.tolist(), e.tolist(), max_span_ms, max_gap_ms) for s, e in zip(starts, ends, strict=True)], columns=["limits", "counts", "lasts"])
 
     return run
 
 
-def _composed(max_span_ms: int):
+def _table(s: list[int], e: list[int], max_span_ms: int, max_gap_ms: int) -> tuple[list[int], list[int], list[int]]:
+    """What a block makes of the chunk that is open: by the limit that its reach stays under, chunks that open and the last one's start."""
+    n, opens = len(s), _pauses(s, e, max_gap_ms)
+    count, last = [0] * (n + 1), [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        k = i + 1
+        while k < n and not opens[k] and e[k] - s[i] <= max_span_ms:
+            k += 1
+        count[i], last[i] = (1 + count[k], last[k]) if k < n else (1, s[i])
+    # the first unit to open is the first that ends beyond the open chunk's reach, or follows a pause
+    limits, counts, lasts, reach = [], [], [], None
+    for i in range(n):
+        if opens[i] or reach is None or e[i] > reach:
+            reach = e[i] if reach is None else max(reach, e[i])
+            # an open chunk began before this block, so its reach is bounded
+            sure = opens[i] or reach > s[0] + max_span_ms
+            limits.append((1 << 62) if sure else reach)
+            counts.append(count[i])
+            lasts.append(last[i])
+            if sure:
+                break
+    return limits, counts, lasts
+
+
+def _composed(max_span_ms: int, max_gap_ms: int):
     def run(key: tuple, blocks_of: pd.DataFrame) -> pd.DataFrame:
-        first, chunks, out = None, 0, []
-        for b, limits, counts, lasts in blocks_of.sort_values("_b")[["_b", "limits", "counts", "lasts"]].itertuples(index=False):
-            out.append((key[0], b, first, chunks))
-            at = 0 if first is None else next((k for k, x in enumerate(limits) if x > first + max_span_ms), None)
+        first, before, chunks, out = None, None, 0, []
+        for b, begin, end, limits, counts, lasts in blocks_of.sort_values("_b")[["_b", "begin", "end", "limits", "counts", "lasts"]].itertuples(index=False):
+            # a first unit that opens is the table's first entry
+            opened = first is None or begin - before > max_gap_ms
+            out.append((key[0], b, _OPENS if opened else first, chunks))
+            at = 0 if opened else next((k for k, x in enumerate(limits) if x > first + max_span_ms), None)
             if at is not None:
                 first, chunks = int(lasts[at]), chunks + int(counts[at])
-        return pd.DataFrame(out, columns=["recording", "_b", "_first", "_ahead"]).astype({"_first": "Int64"})
+            before = end
+        return pd.DataFrame(out, columns=["recording", "_b", "_first", "_ahead"])
 
     return run
 
 
-def _numbered(max_span_ms: int):
+def _numbered(max_span_ms: int, max_gap_ms: int):
     @F.pandas_udf("array<bigint>")
-    def run(starts: pd.Series, ends: pd.Series, opens: pd.Series, first: pd.Series, ahead: pd.Series) -> pd.Series:
+    def run(starts: pd.Series, ends: pd.Series, first: pd.Series, ahead: pd.Series) -> pd.Series:
         out = []
-        for s, e, o, f, n in zip(starts, ends, opens, first, ahead, strict=True):
-            f, n, seq = None if pd.isna(f) else int(f), int(n) - 1, []
-            for a, b, x in zip(s.tolist(), e.tolist(), o.tolist(), strict=True):
-                if x or f is None or b - f > max_span_ms:
+        for s, e, f, n in zip(starts, ends, first, ahead, strict=True):
+            s, e, f, n, seq = s.tolist(), e.tolist(), int(f), int(n) - 1, []
+            opens = _pauses(s, e, max_gap_ms)
+            opens[0] = f == _OPENS
+            for a, b, x in zip(s, e, opens, strict=True):
+                if x or b - f > max_span_ms:
                     f, n = a, n + 1
                 seq.append(n)
             out.append(seq)
@@ -123,12 +125,11 @@ def assign_chunks(units: DataFrame, max_span_ms: int = MAX_SPAN_MS, max_gap_ms:
     """
     order = ["start_ms", "end_ms", "speaker", "unit_id"]
     u = units.select("unit_id", "recording", "speaker", "start_ms", "end_ms", F.floor(F.col("start_ms") / BLOCK_MS).alias("_b"))
-    u = blocks.previous(u, ["recording"], order, F.col("_b"), "end_ms", "_prev").withColumn("opens", F.when(F.col("_prev").isNull() | (F.col("start_ms") - F.col("_prev") > max_gap_ms), 1).otherwise(0))
-    packed = u.groupBy("recording", "_b").agg(F.array_sort(F.collect_list(F.struct(*order, "opens"))).alias("us"))
-    fields = [F.col(f"us.{c}") for c in ("start_ms", "end_ms", "opens")]
-    packed = checkpointed(packed.withColumn("_t", _tables(max_span_ms)(*fields)))
-    heads = packed.select("recording", "_b", "_t.*").groupBy("recording").applyInPandas(_composed(max_span_ms), "recording string, _b bigint, _first bigint, _ahead bigint")
-    seq = _numbered(max_span_ms)(*fields, F.col("_first"), F.col("_ahead"))
+    packed = u.groupBy("recording", "_b").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("us"))
+    times = F.col("us.start_ms"), F.col("us.end_ms")
+    packed = checkpointed(packed.withColumn("_t", _tables(max_span_ms, max_gap_ms)(*times)))
+    heads = packed.select("recording", "_b", F.element_at("us.start_ms", 1).alias("begin"), F.element_at("us.end_ms", -1).alias("end"), "_t.*").groupBy("recording").applyInPandas(_composed(max_span_ms, max_gap_ms), "recording string, _b bigint, _first bigint, _ahead bigint")
+    seq = _numbered(max_span_ms, max_gap_ms)(*times, F.col("_first"), F.col("_ahead"))
     rows = packed.join(heads, ["recording", "_b"]).select("recording", "us", seq.alias("seq")).select("recording", F.explode(F.arrays_zip("us", "seq")).alias("x"))
     return rows.select("x.us.unit_id", "recording", "x.us.speaker", "x.us.start_ms", "x.us.end_ms", F.col("x.seq").cast("bigint").alias("chunk"))
 
