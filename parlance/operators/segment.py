@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
+from ..runtime import checkpointed, slots
 
 MAX_SPAN_MS, MAX_GAP_MS = 27_500, 3_000
 BLOCK_MS = 600_000
@@ -125,7 +125,8 @@ def assign_chunks(units: DataFrame, max_span_ms: int = MAX_SPAN_MS, max_gap_ms:
     """
     order = ["start_ms", "end_ms", "speaker", "unit_id"]
     u = units.select("unit_id", "recording", "speaker", "start_ms", "end_ms", F.floor(F.col("start_ms") / BLOCK_MS).alias("_b"))
-    packed = u.groupBy("recording", "_b").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("us"))
+    # few bytes but much work in a block: over all cores, whatever their size
+    packed = u.repartition(slots(units.sparkSession), "recording", "_b").groupBy("recording", "_b").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("us"))
     times = F.col("us.start_ms"), F.col("us.end_ms")
     packed = checkpointed(packed.withColumn("_t", _tables(max_span_ms, max_gap_ms)(*times)))
     heads = packed.select("recording", "_b", F.element_at("us.start_ms", 1).alias("begin"), F.element_at("us.end_ms", -1).alias("end"), "_t.*").groupBy("recording").applyInPandas(_composed(max_span_ms, max_gap_ms), "recording string, _b bigint, _first bigint, _ahead bigint")
