@@ -1,7 +1,7 @@
 """Same or nearly the same records across splits.
 
-Candidates are complete: of a longer record's n - 2 runs of three words, n/4 edits leave at least n/4 - 2 whole,
-so records that share fewer are no pair. Only the rarest runs of each record need be joined to find all others.
+Candidates are complete: a train record is cut into parts of six words, more than half as many as a pair may have
+edits, so one part has an edit at most; five of its words are then five of six neighbours in the held-out record.
 An exact word edit distance follows. For the pairs found, content-defined chunks (a cut lies before each word
 whose rolling hash falls under a fraction of all values) give the overlap by the lengths of the shared chunks.
 Exact copies are one class throughout and expand only in the final rows.
@@ -9,17 +9,19 @@ Exact copies are one class throughout and expand only in the final rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
+from ..runtime import packed, settled, slots
 from .plain import plain_words
 
 #: Share of words before which a cut lies, fewest and most words of a chunk, and independent sets of cuts.
@@ -28,18 +30,31 @@ CUT_SHARE, MIN_WORDS, MAX_WORDS, CUTTINGS = 1 / 3, 3, 16, 8
 LEAST_WORDS, EDIT_SHARE = 20, 0.25
 #: Words of a run, and runs that a pair shares at least: with LEAST_WORDS and EDIT_SHARE, no pair shares fewer.
 RUN, COMMON = 3, 3
-#: Records whose runs are counted for the order of rarity, and runs that are kept from it. Any order is right.
-RARITY_SAMPLE, RARITY_KEPT = 20_000, 20_000
-#: Records whose runs are made at a time, for memory.
-_ROWS = 1_000
-#: Bits of a class's number that hold its count of words, as far as they reach.
-_SIZE_BITS = 12
+#: Words of a part of a train record, and of the parts where a held-out record has nearly a third more words.
+PART, SHORT_PART = 6, 5
+#: Passes over the keys of parts: only those of one pass are on disk at a time.
+PASSES = 3
+#: Keys of a bucket, about: what a task matches at a time. Pairs that are made of them at a time.
+_BUCKET, _PAIRS = 500_000, 2_000_000
+#: Records whose chunks or texts are treated at a time, for memory; and records and words whose keys are made at a time.
+_ROWS, _SLICE, _SLICE_WORDS = 1_000, 8_192, 500_000
 #: Cuttings of the overlap fractions of all records.
 FRACTION_CUTTINGS = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(MAX_WORDS, _BASE, dtype=np.uint64), dtype=np.uint64)
 
 
+def _close(x: int, y: int) -> bool:
+    k = int(EDIT_SHARE * y)
+    rest = k - (y - x)
+    return rest >= 0 and 2 * (x // PART) <= k and rest + (k - rest) // 2 >= x // SHORT_PART
+
+
+#: Words of a train and a held-out record for which neither parts of six words nor whole ones of five are enough. There
+#: are none from x = 75 on: y >= 8 * (x // 6), so the spoilt parts are x / 6 + 5 / 3 at most, under (x - 4) / 5.
+CLOSE = [(x, y) for x in range(LEAST_WORDS, 75) for y in range(x + 1, 4 * x // 3 + 1) if _close(x, y)]
+
+
 def split_name(column: str = "split"):
     s = F.lower(F.trim(F.col(column)))
     return F.when(s.isin("dev", "val", "valid"), "validation").when(s != "", s)
@@ -106,12 +121,15 @@ def _plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         w = [plain_words(t) for t in b["_t"]]
         b = b.assign(words=[" ".join(x) for x in w], n=np.array([len(x) for x in w], dtype=np.int32))
-        yield b.loc[b["n"] >= LEAST_WORDS, ["_id", "_split", "_source", "words", "n"]]
+        b = b[b["n"] >= LEAST_WORDS]
+        yield b.assign(_key=[hashlib.blake2b(x.encode(), digest_size=16).digest() for x in b["words"]])[["_id", "_split", "_source", "_key", "words", "n"]]
 
 
 def run_digests(records: list[list[str]], hot: np.ndarray | None = None, count: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(record, digest) of each record's rarest runs of ``RUN`` words, as many as a pair needs to share ``COMMON``.
 
+    The join goes by ``candidate_keys``; this is an independent bound on what pairs share.
+
     ``hot`` has runs in order of value, with their ``count``; others are rare; ``every`` keeps all runs. A run's second, third ... occurrence
     in a record is a run of its own. With T = ceil(n / 4) - 2 runs shared by any pair, the first ``COMMON`` shared
     ones lie before the last T - COMMON of either record.
@@ -144,27 +162,155 @@ def run_digests(records: list[list[str]], hot: np.ndarray | None = None, count:
     return owner[keep], digest[keep].view(np.int64)
 
 
-def _digests(batches: Iterator[pd.DataFrame], hot: np.ndarray, count: np.ndarray) -> Iterator[pd.DataFrame]:
-    for b in (x.iloc[i : i + _ROWS] for x in batches for i in range(0, len(x), _ROWS)):
-        owner, digest = run_digests([w.split(" ") for w in b["words"]], hot, count)
-        yield pd.DataFrame({"digest": digest, "id": b["id"].to_numpy()[owner]})
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = digest = xxhash.xxh32_intdigest(word)
+        return digest
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in (x.iloc[i : i + _ROWS] for x in batches for i in range(0, len(x), _ROWS)):
-        _, digest = run_digests([w.split(" ") for w in b["words"]], every=True)
-        run, count = np.unique(digest, return_counts=True)
-        yield pd.DataFrame({"run": run, "count": count})
+def word_codes(records: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words, one record after the other; words of each record); equal hashes may only add candidates."""
+    flat = " ".join(records).split(" ") if records else []
+    return np.fromiter(map(_Hashes().__getitem__, flat), dtype=np.uint32, count=len(flat)), np.array([r.count(" ") + 1 for r in records], dtype=np.int64)
+
 
+def _parts(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(record, first word) of each record's parts of ``size`` words."""
+    count = sizes // size
+    owner = np.repeat(np.arange(len(sizes)), count)
+    return owner, (np.cumsum(sizes) - sizes - (np.cumsum(count) - count) * size)[owner] + np.arange(len(owner)) * size
 
-def _hot(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent runs of a sample, in order of value, and their counts."""
-    every = max(1, reps.count() // RARITY_SAMPLE)
-    some = reps.where(F.pmod(F.xxhash64("words"), F.lit(every)) == 0).select("words")
-    top = some.mapInPandas(_runs, "run long, count long").groupBy("run").agg(F.sum("count").alias("count")).where("count > 1").orderBy(F.desc("count"), "run").limit(RARITY_KEPT).collect()
-    run, count = np.array([r["run"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in top], dtype=np.int64)
-    order = np.argsort(run)
-    return run[order], count[order]
+
+def part_keys(word: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(record, key) of each record's parts of ``size`` words, each less one of its words; of a rest of size - 1 words too.
+
+    ``word`` has the records' words as numbers, one record after the other, ``sizes`` their counts.
+    """
+    owner, at = _parts(sizes, size)
+    rest = np.flatnonzero(sizes % size == size - 1)
+    of = [word[at + j] for j in range(size)]
+    keys = [sum(x * _POWERS[i] for i, x in enumerate(of[1:]))]
+    for i in range(size - 1):  # the word left out moves on by one
+        keys.append(keys[-1] + (of[i] - of[i + 1]) * _POWERS[i])
+    last = np.cumsum(sizes)[rest] - size + 1
+    return np.concatenate([*[owner] * size, rest]), np.concatenate([*keys, sum(word[last + i] * _POWERS[i] for i in range(size - 1))])
+
+
+def window_keys(word: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(record, key) of each size - 1 words in a row, and of each ``size`` words in a row less one between its ends."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    n = max(0, len(word) - size + 2)
+    run = sum(word[i : n + i] * _POWERS[i] for i in range(size - 1))
+    inside, window = owner[:n] == owner[size - 2 :], owner[: max(0, n - 1)] == owner[size - 1 :]
+    owners, keys, key = [owner[:n][inside]], [run[inside]], run[: max(0, n - 1)]
+    owner = owner[: len(window)][window]
+    for i in range(size - 2, 0, -1):
+        key = key + (word[i + 1 : len(key) + i + 1] - word[i : len(key) + i]) * _POWERS[i]
+        owners.append(owner)
+        keys.append(key[window])
+    return np.concatenate(owners), np.concatenate(keys)
+
+
+def candidate_keys(codes: np.ndarray, sizes: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(record, key) such that a train and a held-out record within the edits share a key.
+
+    Let x and y be the words of a train and a held-out record and k the edits they may have. x // 6 parts of six words
+    have an edit or none in one of them at least where 2 * (x // 6) > k, and a part with one edit shares a key with the
+    window it has become. Else y exceeds x, and nearly all edits are insertions: at most k - (y - x) are not. Those spoil
+    a whole part of five words each, insertions two by two, so that one has a word more at most, unless x and y are
+    ``CLOSE``. For these k <= x / 3, and parts of five words less one are enough: 2 * (x // 5) > x / 3, but for x = 24,
+    where the four words that remain are a part that one edit spoils.
+    """
+    with np.errstate(over="ignore"):
+        word = codes * _BASE
+        word ^= word >> np.uint64(32)
+        found = [(part_keys if train else window_keys)(word, sizes, PART)]
+        for y in sorted({y for _, y in CLOSE}) if train else [None]:
+            some = np.isin(sizes, [a if train else b for a, b in CLOSE if y in (None, b)])
+            if some.any():
+                owner, key = (part_keys if train else window_keys)(word[np.repeat(some, sizes)], sizes[some], SHORT_PART)
+                owner = np.flatnonzero(some)[owner]
+                # lengths that meet have keys of their own
+                found.append((owner, key + np.uint64(0x94D049BB133111EB) * (np.uint64(y) if train else sizes.astype(np.uint64)[owner])))
+        if train:
+            owner, at = _parts(sizes, SHORT_PART)
+            found.append((owner, sum(word[at + i] * _POWERS[i] for i in range(SHORT_PART))))
+        owners, keys = zip(*found, strict=True)
+        return np.concatenate(owners), np.concatenate(keys)
+
+
+def _slices(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Stretches of rows with ids that follow each other, of a bounded number of rows and words."""
+    ids, words = b["id"].to_numpy(), np.cumsum(b["n"].to_numpy(dtype=np.int64))
+    i = 0
+    while i < len(b):
+        jump = np.flatnonzero(np.diff(ids[i : i + _SLICE]) != 1)
+        j = min(i + _SLICE, len(b), i + 1 + int(jump[0]) if len(jump) else len(b))
+        j = max(i + 1, min(j, int(np.searchsorted(words, (words[i - 1] if i else 0) + _SLICE_WORDS, "right"))))
+        yield b.iloc[i:j]
+        i = j
+
+
+def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per slice: its first id, and sizes, sides and word codes of its records, compressed."""
+    for b in (x for batch in batches for x in _slices(batch)):
+        codes, sizes = word_codes(b["words"].tolist())
+        data = sizes.tobytes() + (b["train"] + 2 * b["held"]).to_numpy(dtype=np.uint8).tobytes() + codes.tobytes()
+        yield pd.DataFrame({"first": [int(b["id"].iloc[0])], "n": [len(b)], "size": [len(data)], "data": [pa.compress(data, "zstd", asbytes=True)]})
+
+
+def _keys(batches: Iterator[pd.DataFrame], buckets: int, only: int) -> Iterator[pd.DataFrame]:
+    """The keys of one pass, by bucket: first id, count of train's keys, keys of train and of held-out records, then places of their records."""
+    # 16 bits of a key tell pass and bucket, the next 32 are kept
+    least, beyond = (-(-(x << 16) // PASSES) << 48 for x in (only, only + 1))
+    for first, n, size, data in (x for b in batches for x in zip(b["first"], b["n"], b["size"], b["data"], strict=True)):
+        data = pa.decompress(data, size, "zstd", asbytes=True)
+        sizes, side, codes = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.uint8, n, 8 * n), np.frombuffer(data[9 * n :], np.uint32)
+        sides = []
+        for bit in (1, 2):
+            at = np.flatnonzero(side & bit)
+            owner, key = candidate_keys(codes[np.repeat(side & bit > 0, sizes)], sizes[at], bit == 1)
+            mine = (key >= np.uint64(least)) & (key <= np.uint64(beyond - 1))
+            # a key that a record repeats counts once
+            value = np.sort(key[mine] & ~np.uint64(0xFFFF) | at.astype(np.uint64)[owner[mine]])
+            value = value[np.diff(value, prepend=~value[:1]) != 0]
+            bucket = ((value >> np.uint64(48)) * np.uint64(buckets * PASSES) >> np.uint64(16)) - np.uint64(buckets * only)
+            ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            sides.append(((value >> np.uint64(16)).astype(np.uint32), value.astype(np.uint16), ends))
+        (tk, tp, te), (hk, hp, he) = sides
+        rows = [(i, np.array([first, te[i + 1] - te[i]], dtype=np.int64).tobytes() + b"".join(x.tobytes() for x in (tk[te[i] : te[i + 1]], hk[he[i] : he[i + 1]], tp[te[i] : te[i + 1]], hp[he[i] : he[i + 1]]))) for i in range(buckets) if te[i] < te[i + 1] or he[i] < he[i + 1]]
+        yield pd.DataFrame(rows, columns=["bucket", "keys"])
+
+
+def _match(b: pd.DataFrame) -> pd.DataFrame:
+    """Distinct pairs (a, b) of the ids of train and held-out records that share a key of the bucket."""
+    sides: tuple[list, list] = ([], [])
+    for x in b["keys"]:
+        first, train = np.frombuffer(x, np.int64, 2)
+        n = (len(x) - 16) // 6
+        key, place = np.frombuffer(x, np.uint32, n, 16), np.frombuffer(x, np.uint16, n, 16 + 4 * n)
+        for side, part in zip(sides, (slice(0, train), slice(train, n)), strict=True):
+            side.append((key[part], first + place[part].astype(np.int64)))
+    (tk, ti), (hk, hi) = ((np.concatenate([k for k, _ in s]), np.concatenate([i for _, i in s])) for s in sides)
+    low = np.uint64(0xFFFFFFFF)
+    t = np.sort(tk.astype(np.uint64) << np.uint64(32) | np.arange(len(tk), dtype=np.uint64))
+    h = np.sort(hk.astype(np.uint64) << np.uint64(32) | np.arange(len(hk), dtype=np.uint64))
+    tk, ti, hk, hi = t >> np.uint64(32), ti[(t & low).astype(np.int64)], h >> np.uint64(32), hi[(h & low).astype(np.int64)]
+    begin = np.searchsorted(tk, hk)
+    count = np.searchsorted(tk, hk, "right") - begin
+    hit = np.flatnonzero(count)
+    begin, count, hi = begin[hit], count[hit], hi[hit]
+    out = [pd.DataFrame({"a": ti[:0], "b": hi[:0]})]
+    # a key that many records have on both sides makes its pairs in stretches
+    total = np.cumsum(count)
+    for low_ in range(0, int(total[-1]) if len(total) else 0, _PAIRS):
+        pair = np.arange(low_, min(low_ + _PAIRS, int(total[-1])))
+        of = np.searchsorted(total, pair, "right")
+        out.append(pd.DataFrame({"a": ti[begin[of] + pair - (total[of] - count[of])], "b": hi[of]}).drop_duplicates())
+        if len(out) > 8:
+            out = [pd.concat(out).drop_duplicates()]
+    found = pd.concat(out).drop_duplicates()
+    return found[found["a"] != found["b"]]
 
 
 def _overlaps(a: list[list[str]], b: list[list[str]]) -> np.ndarray:
@@ -198,48 +344,41 @@ def classes(records: DataFrame, id_col: str = "example_id", split_col: str = "sp
     Records with a null id, split or text, and those under ``LEAST_WORDS`` plain words, take no part.
     Repeated rows count once. Other columns are ignored.
     """
-    base = (
-        records.select(F.col(f"`{id_col}`").alias("_id"), split_name(f"`{split_col}`").alias("_split"), F.lower(F.trim(F.col(f"`{source_col}`"))).alias("_source"), F.col(f"`{text_col}`").alias("_t"))
-        .where("_id IS NOT NULL AND _split IS NOT NULL AND length(_t) >= 20")
-        .dropDuplicates(["_id", "_split", "_t"])
-    )
-    # read several times below; the plain words are made once
-    plain = checkpointed(base.mapInPandas(_plain, "_id string, _split string, _source string, words string, n int"))
-    reps = plain.groupBy("words").agg(F.min("_id").alias("cls"), F.first("n").alias("n"), F.max((F.col("_split") == "train").cast("int")).alias("train"), F.max((F.col("_split") != "train").cast("int")).alias("held"))
-    reps = checkpointed(reps)
-    members = plain.join(reps.select("words", "cls"), "words").select("_id", "_split", "_source", "cls")
+    base = records.select(F.col(f"`{id_col}`").alias("_id"), split_name(f"`{split_col}`").alias("_split"), F.lower(F.trim(F.col(f"`{source_col}`"))).alias("_source"), F.col(f"`{text_col}`").alias("_t")).where("_id IS NOT NULL AND _split IS NOT NULL AND length(_t) >= 20")
+    # read several times below; the plain words are made once, and texts travel once: 128 bits stand for them
+    plain = packed(base.mapInPandas(_plain, "_id string, _split string, _source string, _key binary, words string, n int"))
+    train = F.col("_split") == "train"
+    reps = plain.groupBy("_key").agg(F.min("_id").alias("cls"), F.first("words").alias("words"), F.first("n").alias("n"), F.max(train.cast("int")).alias("train"), F.max((~train).cast("int")).alias("held"))
+    reps = packed(reps.withColumn("id", F.monotonically_increasing_id()))
+    members = packed(plain.select("_id", "_split", "_source", "_key").join(reps.select("_key", "cls"), "_key").select("_id", "_split", "_source", "cls"))
     return members, reps
 
 
 def near_classes(reps: DataFrame) -> DataFrame:
     """Pairs of different classes, ``a`` with train and ``b`` with held-out members, with distance and overlap.
 
-    Until texts are compared a class is a number: its text's hash, its count of words in the lowest bits. Two
-    classes of one number would be compared together, and told apart by their texts.
+    Classes are numbers until texts are compared. Their keys go to buckets, 6 bytes each, one pass of them after the
+    other; what a pass has shuffled is gone before the next begins.
     """
-    hot, count = _hot(reps)
-    sizes = (1 << _SIZE_BITS) - 1
-    number = F.xxhash64("words").bitwiseAND(F.lit(~sizes)).bitwiseOR(F.least(F.col("n"), F.lit(sizes)).cast("bigint")).alias("id")
-    digests = lambda side: reps.where(f"{side} = 1").select(number, "words").mapInPandas(partial(_digests, hot=hot, count=count), "digest long, id long")
-    n = lambda c: F.col(c).bitwiseAND(F.lit(sizes))
-    longer = F.greatest(n("a"), n("b"))
-    # what is too far apart in length cannot be within the edits
-    pairs = (
-        digests("train").withColumnRenamed("id", "a")
-        .join(digests("held").withColumnRenamed("id", "b"), "digest")
-        .where((F.col("a") != F.col("b")) & ((F.abs(n("a") - n("b")) <= F.floor(longer * EDIT_SHARE)) | (longer == sizes)))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("common"))
-        .where(F.col("common") >= COMMON)
-        .select("a", "b")
-    )
+    spark = reps.sparkSession
+    # keys a word, about: up to two of a train record, six of a held-out one
+    keys = reps.agg(F.sum(F.col("n").cast("bigint") * (2 * F.col("train") + 6 * F.col("held")))).first()[0] or 0
+    buckets = max(slots(spark), keys // (PASSES * _BUCKET))
+    coded = settled(reps.select("id", "words", "n", "train", "held").mapInPandas(_coded, "first long, n int, size long, data binary"))
+    pairs = None
+    for i in range(PASSES):
+        found = settled(coded.mapInPandas(partial(_keys, buckets=buckets, only=i), "bucket int, keys binary").groupBy("bucket").applyInPandas(_match, "a long, b long").distinct())
+        pairs = found if pairs is None else pairs.unionByName(found)
     # texts grow with the data: they are joined by shuffles, never sent to the driver
-    texts = lambda side, c: reps.where(f"{side} = 1").select(number.alias(c), F.col("cls").alias(f"cls_{c}"), F.col("words").alias(f"words_{c}")).hint("merge")
-    return (
-        pairs.join(texts("train", "a"), "a")
+    texts = lambda side, c: reps.where(f"{side} = 1").select(F.col("id").alias(c), F.col("cls").alias(f"cls_{c}"), F.col("words").alias(f"words_{c}"), F.col("n").alias(f"n_{c}")).hint("merge")
+    # what is too far apart in length cannot be within the edits
+    near = F.abs(F.col("n_a") - F.col("n_b")) <= F.floor(F.greatest("n_a", "n_b") * EDIT_SHARE)
+    return settled(
+        pairs.distinct()
+        .join(texts("train", "a"), "a")
         .join(texts("held", "b"), "b")
+        .where(near)
         .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "words_a", "words_b")
-        .where("a <> b")
         .mapInPandas(_verify, "a string, b string, distance int, overlap double")
     )
 
@@ -270,7 +409,7 @@ def document_classes(records: DataFrame, **columns: str) -> DataFrame:
     there. Records that take no part (null split or text, too few words) have no row.
     """
     members, reps = classes(records, **columns)
-    near = checkpointed(near_classes(reps).select("a", "b"))
+    near = near_classes(reps)
     count = lambda c: near.groupBy(F.col(c).alias("cls")).agg(F.count(F.lit(1)).alias(f"near_{c}"))
     links = reps.select("cls", "train", "held").join(count("a"), "cls", "left").join(count("b"), "cls", "left")
     train = F.col("_split") == "train"

@@ -1,12 +1,14 @@
 """Overlap across splits, leakage and repetition against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from parlance.llm import leakage, overlap, repetition
 from parlance.llm.plain import plain_words
+from parlance.runtime import shared_folder
 
 WORDS = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ana", "ilo", "ure", "este", "ock")]
 SCHEMA = "example_id string, split string, text string, corpus string, words string, n int, cls string"
@@ -269,3 +271,55 @@ def test_doubled_records(spark):
         want.add((f"{k}-a", f"{k}-b"))
     df = spark.createDataFrame(rows, "example_id string, split string, corpus string, text string")
     assert {(x["id_a"], x["id_b"]) for x in overlap.cross_split_pairs(df).collect()} == want
+
+
+def sneaky(r, x, k):
+    """Edits that spoil as many parts as they can: insertions within parts of six and five words, and a few others."""
+    y = list(x)
+    step = r.choice([2, 3, 3, 4])
+    places = [*range(r.randrange(1, step + 1), len(x), step)]
+    for i in sorted(r.sample(places, min(k, len(places))) if r.random() < 0.5 else places[:k], reverse=True):
+        y[i:i] = [f"n{r.getrandbits(30)}"]
+    while len(y) - len(x) < k and r.random() < 0.7:
+        i = r.randrange(len(y) + 1)
+        y[i:i] = [f"n{r.getrandbits(30)}"]
+    return y
+
+
+def test_keys_of_all_pairs():
+    r = random.Random(21)
+    seen = hard = 0
+    for t in range(6_000):
+        n = r.randint(20, 80) if t % 4 else 24
+        x = [f"w{r.getrandbits(30)}" for _ in range(n)] if t % 3 else r.choices(["ha", "ja", *[f"w{i}" for i in range(40)]], k=n)
+        if t % 2:
+            y = sneaky(r, x, n // 3)
+        else:
+            y, most = list(x), r.choice([n // 4, n // 3])
+            for i in sorted(r.sample(range(n), most), reverse=True):
+                y[i : i + 1] = r.choice([[], ["new"], [x[i], f"m{i}"], [f"e{i}"]])
+        x, y = r.choice([(x, y), (y, x)])
+        if min(len(x), len(y)) < overlap.LEAST_WORDS or overlap.within(x, y, max(len(x), len(y)) // 4) is None:
+            continue
+        seen += 1
+        hard += 2 * (len(x) // overlap.PART) <= max(len(x), len(y)) // 4
+        assert set(overlap.candidate_keys(*overlap.word_codes([" ".join(x)]), True)[1]) & set(overlap.candidate_keys(*overlap.word_codes([" ".join(y)]), False)[1]), (x, y)
+    assert seen > 2_000 and hard > 100
+
+
+def test_disk_of_pairs(spark, tmp_path):
+    """Sentences of few patterns share runs by chance: neither their keys nor chance pairs take more than four times the input."""
+    r = random.Random(22)
+    nouns, verbs = [f"noun{i}" for i in range(150)], [f"verb{i}" for i in range(80)]
+    names = ["".join(r.choices("abdegiklmnorstu", k=9)) for _ in range(4_000)]
+    say = lambda: [r.choice(["the", "that", "our"]), r.choice(nouns), r.choice(verbs), r.choice(["the", "this"]), r.choice(nouns), "near", r.choice(names)]
+    rows = [(str(i), "train" if i % 3 else "test", "x", " ".join(w for _ in range(r.randrange(6, 14)) for w in say())) for i in range(12_000)]
+    copies = [(f"c{i}", "test" if s == "train" else "train", "x", t.replace("noun1 ", "noun2 ")) for i, s, _, t in rows[:50]]
+    path = str(tmp_path / "records")
+    spark.createDataFrame(rows + copies, "example_id string, split string, corpus string, text string").write.option("compression", "zstd").parquet(path)
+    size = lambda folder: sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    used = lambda: sum(size(d) for d in [shared_folder(spark).removeprefix("file:"), *local])
+    before = used()
+    got = overlap.cross_split_pairs(spark.read.parquet(path)).collect()
+    assert len(got) == 50 and used() - before < 4 * size(path)
