@@ -32,6 +32,8 @@ LEAST_WORDS, EDIT_SHARE = 20, 0.25
 RUN, COMMON = 3, 3
 #: Words of a part of a train record, and of the parts where a held-out record has nearly a third more words.
 PART, SHORT_PART = 6, 5
+#: Classes of words that are counted in each record.
+BAG = 32
 #: Passes over the keys of parts: only those of one pass are on disk at a time.
 PASSES = 3
 #: Keys of a bucket, about: what a task matches at a time. Pairs that are made of them at a time.
@@ -162,57 +164,63 @@ def run_digests(records: list[list[str]], hot: np.ndarray | None = None, count:
     return owner[keep], digest[keep].view(np.int64)
 
 
-class _Hashes(dict):
+class _Numbers(dict):
     def __missing__(self, word: str) -> int:
-        self[word] = digest = xxhash.xxh32_intdigest(word)
-        return digest
+        self[word] = number = len(self)
+        return number
+
+
+def word_numbers(records: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, numbers of the words among them, one record after the other; words of each record)."""
+    flat, numbers = " ".join(records).split(" ") if records else [], _Numbers()
+    found = np.fromiter(map(numbers.__getitem__, flat), dtype=np.uint32, count=len(flat))
+    return np.array([xxhash.xxh32_intdigest(w) for w in numbers], dtype=np.uint32), found, np.array([r.count(" ") + 1 for r in records], dtype=np.int64)
 
 
 def word_codes(records: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words, one record after the other; words of each record); equal hashes may only add candidates."""
-    flat = " ".join(records).split(" ") if records else []
-    return np.fromiter(map(_Hashes().__getitem__, flat), dtype=np.uint32, count=len(flat)), np.array([r.count(" ") + 1 for r in records], dtype=np.int64)
+    hashes, numbers, sizes = word_numbers(records)
+    return hashes[numbers], sizes
 
 
-def _parts(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(record, first word) of each record's parts of ``size`` words."""
+def _parts(sizes: np.ndarray, size: int) -> np.ndarray:
+    """Place of the first word of each record's parts of ``size`` words."""
     count = sizes // size
-    owner = np.repeat(np.arange(len(sizes)), count)
-    return owner, (np.cumsum(sizes) - sizes - (np.cumsum(count) - count) * size)[owner] + np.arange(len(owner)) * size
+    return np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(count) - count) * size, count) + np.arange(count.sum()) * size
 
 
 def part_keys(word: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(record, key) of each record's parts of ``size`` words, each less one of its words; of a rest of size - 1 words too.
+    """(place of the first word, key) of each record's parts of ``size`` words, each less one of its words; of a rest of size - 1 words too.
 
     ``word`` has the records' words as numbers, one record after the other, ``sizes`` their counts.
     """
-    owner, at = _parts(sizes, size)
+    at = _parts(sizes, size)
     rest = np.flatnonzero(sizes % size == size - 1)
     of = [word[at + j] for j in range(size)]
     keys = [sum(x * _POWERS[i] for i, x in enumerate(of[1:]))]
     for i in range(size - 1):  # the word left out moves on by one
         keys.append(keys[-1] + (of[i] - of[i + 1]) * _POWERS[i])
     last = np.cumsum(sizes)[rest] - size + 1
-    return np.concatenate([*[owner] * size, rest]), np.concatenate([*keys, sum(word[last + i] * _POWERS[i] for i in range(size - 1))])
+    return np.concatenate([*[at] * size, last]), np.concatenate([*keys, sum(word[last + i] * _POWERS[i] for i in range(size - 1))])
 
 
 def window_keys(word: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(record, key) of each size - 1 words in a row, and of each ``size`` words in a row less one between its ends."""
+    """(place of the first word, key) of each size - 1 words in a row, and of each ``size`` words in a row less one between its ends."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     n = max(0, len(word) - size + 2)
     run = sum(word[i : n + i] * _POWERS[i] for i in range(size - 1))
     inside, window = owner[:n] == owner[size - 2 :], owner[: max(0, n - 1)] == owner[size - 1 :]
-    owners, keys, key = [owner[:n][inside]], [run[inside]], run[: max(0, n - 1)]
-    owner = owner[: len(window)][window]
+    places, keys, key = [np.flatnonzero(inside)], [run[inside]], run[: max(0, n - 1)]
+    at = np.flatnonzero(window)
     for i in range(size - 2, 0, -1):
         key = key + (word[i + 1 : len(key) + i + 1] - word[i : len(key) + i]) * _POWERS[i]
-        owners.append(owner)
+        places.append(at)
         keys.append(key[window])
-    return np.concatenate(owners), np.concatenate(keys)
+    return np.concatenate(places), np.concatenate(keys)
 
 
 def candidate_keys(codes: np.ndarray, sizes: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(record, key) such that a train and a held-out record within the edits share a key.
+    """(place of a word, key) such that a train and a held-out record within the edits share a key.
 
     Let x and y be the words of a train and a held-out record and k the edits they may have. x // 6 parts of six words
     have an edit or none in one of them at least where 2 * (x // 6) > k, and a part with one edit shares a key with the
@@ -228,15 +236,16 @@ def candidate_keys(codes: np.ndarray, sizes: np.ndarray, train: bool) -> tuple[n
         for y in sorted({y for _, y in CLOSE}) if train else [None]:
             some = np.isin(sizes, [a if train else b for a, b in CLOSE if y in (None, b)])
             if some.any():
-                owner, key = (part_keys if train else window_keys)(word[np.repeat(some, sizes)], sizes[some], SHORT_PART)
-                owner = np.flatnonzero(some)[owner]
+                words = np.flatnonzero(np.repeat(some, sizes))
+                at, key = (part_keys if train else window_keys)(word[words], sizes[some], SHORT_PART)
+                at = words[at]
                 # lengths that meet have keys of their own
-                found.append((owner, key + np.uint64(0x94D049BB133111EB) * (np.uint64(y) if train else sizes.astype(np.uint64)[owner])))
+                found.append((at, key + np.uint64(0x94D049BB133111EB) * (np.uint64(y) if train else np.repeat(sizes, sizes).astype(np.uint64)[at])))
         if train:
-            owner, at = _parts(sizes, SHORT_PART)
-            found.append((owner, sum(word[at + i] * _POWERS[i] for i in range(SHORT_PART))))
-        owners, keys = zip(*found, strict=True)
-        return np.concatenate(owners), np.concatenate(keys)
+            at = _parts(sizes, SHORT_PART)
+            found.append((at, sum(word[at + i] * _POWERS[i] for i in range(SHORT_PART))))
+        places, keys = zip(*found, strict=True)
+        return np.concatenate(places), np.concatenate(keys)
 
 
 def _slices(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -254,31 +263,68 @@ def _slices(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
 def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per slice: its first id, and sizes, sides and word codes of its records, compressed."""
     for b in (x for batch in batches for x in _slices(batch)):
-        codes, sizes = word_codes(b["words"].tolist())
-        data = sizes.tobytes() + (b["train"] + 2 * b["held"]).to_numpy(dtype=np.uint8).tobytes() + codes.tobytes()
-        yield pd.DataFrame({"first": [int(b["id"].iloc[0])], "n": [len(b)], "size": [len(data)], "data": [pa.compress(data, "zstd", asbytes=True)]})
+        hashes, numbers, sizes = word_numbers(b["words"].tolist())
+        numbers = numbers.astype(np.uint16 if len(hashes) <= 1 << 16 else np.uint32)
+        data = b"".join(x.tobytes() for x in (sizes, hashes, numbers, (b["train"] + 2 * b["held"]).to_numpy(dtype=np.uint8)))
+        yield pd.DataFrame({"first": [int(b["id"].iloc[0])], "n": [len(b)], "distinct": [len(hashes)], "size": [len(data)], "data": [pa.compress(data, "zstd", asbytes=True)]})
+
+
+def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for first, n, distinct, size, data in (x for b in batches for x in zip(b["first"], b["n"], b["distinct"], b["size"], b["data"], strict=True)):
+        data = pa.decompress(data, size, "zstd", asbytes=True)
+        sizes, hashes = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.uint32, distinct, 8 * n)
+        numbers = np.frombuffer(data, np.uint16 if distinct <= 1 << 16 else np.uint32, int(sizes.sum()), 8 * n + 4 * distinct)
+        yield first, sizes, np.frombuffer(data, np.uint8, n, size - n), hashes[numbers]
+
+
+def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many words of a record fall in each of ``BAG`` classes, 255 at most."""
+    for first, sizes, side, codes in _decoded(batches):
+        count = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * BAG + codes % BAG, minlength=len(sizes) * BAG).reshape(-1, BAG)
+        yield pd.DataFrame({"id": first + np.arange(len(sizes)), "n": sizes.astype(np.int32), "side": side.astype(np.int32), "bag": [x.tobytes() for x in np.minimum(count, 255).astype(np.uint8)]})
+
+
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose counts differ by no more than the edits allow: two by a word replaced, one by one inserted or deleted."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, BAG).astype(np.int16) for c in ("bag_a", "bag_b"))
+        n, m = b["n_a"].to_numpy(), b["n_b"].to_numpy()
+        apart = np.abs(n - m)
+        most = (EDIT_SHARE * np.maximum(n, m)).astype(np.int64)
+        yield b.loc[(apart <= most) & (np.abs(x - y).sum(axis=1) <= 2 * most - apart), ["a", "b"]]
 
 
 def _keys(batches: Iterator[pd.DataFrame], buckets: int, only: int) -> Iterator[pd.DataFrame]:
-    """The keys of one pass, by bucket: first id, count of train's keys, keys of train and of held-out records, then places of their records."""
+    """The keys of one pass, by bucket: first id, count of train's keys, keys of train and of held-out records, their records, and words before and from there.
+
+    Counts of words are left open (255) where one is more than 254, and where a record has a key twice.
+    """
     # 16 bits of a key tell pass and bucket, the next 32 are kept
     least, beyond = (-(-(x << 16) // PASSES) << 48 for x in (only, only + 1))
-    for first, n, size, data in (x for b in batches for x in zip(b["first"], b["n"], b["size"], b["data"], strict=True)):
-        data = pa.decompress(data, size, "zstd", asbytes=True)
-        sizes, side, codes = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.uint8, n, 8 * n), np.frombuffer(data[9 * n :], np.uint32)
+    for first, sizes, side, codes in _decoded(batches):
         sides = []
         for bit in (1, 2):
             at = np.flatnonzero(side & bit)
-            owner, key = candidate_keys(codes[np.repeat(side & bit > 0, sizes)], sizes[at], bit == 1)
+            own = sizes[at]
+            place, key = candidate_keys(codes[np.repeat(side & bit > 0, sizes)], own, bit == 1)
             mine = (key >= np.uint64(least)) & (key <= np.uint64(beyond - 1))
+            place, key = place[mine], key[mine]
+            owner = np.repeat(np.arange(len(own)), own)[place]
+            before = place - (np.cumsum(own) - own)[owner]
+            after = own[owner] - before
+            value = key & ~np.uint64(0xFFFF) | at.astype(np.uint64)[owner]
+            order = np.argsort(value)
+            value = value[order]
             # a key that a record repeats counts once
-            value = np.sort(key[mine] & ~np.uint64(0xFFFF) | at.astype(np.uint64)[owner[mine]])
-            value = value[np.diff(value, prepend=~value[:1]) != 0]
+            once = np.flatnonzero(np.diff(value, prepend=~value[:1]) != 0)
+            open_ = (np.diff(once, append=len(value)) > 1) | (np.maximum(before, after)[order][once] > 254)
+            words = [np.where(open_, 255, x[order][once]).astype(np.uint8) for x in (before, after)]
+            value = value[once]
             bucket = ((value >> np.uint64(48)) * np.uint64(buckets * PASSES) >> np.uint64(16)) - np.uint64(buckets * only)
-            ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            sides.append(((value >> np.uint64(16)).astype(np.uint32), value.astype(np.uint16), ends))
-        (tk, tp, te), (hk, hp, he) = sides
-        rows = [(i, np.array([first, te[i + 1] - te[i]], dtype=np.int64).tobytes() + b"".join(x.tobytes() for x in (tk[te[i] : te[i + 1]], hk[he[i] : he[i + 1]], tp[te[i] : te[i + 1]], hp[he[i] : he[i + 1]]))) for i in range(buckets) if te[i] < te[i + 1] or he[i] < he[i + 1]]
+            sides.append(([(value >> np.uint64(16)).astype(np.uint32), value.astype(np.uint16), *words], np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))))
+        (train, te), (held, he) = sides
+        parts = lambda i: [x.tobytes() for t, h in zip(train, held, strict=True) for x in (t[te[i] : te[i + 1]], h[he[i] : he[i + 1]])]  # noqa: B023, E731
+        rows = [(i, np.array([first, te[i + 1] - te[i]], dtype=np.int64).tobytes() + b"".join(parts(i))) for i in range(buckets) if te[i] < te[i + 1] or he[i] < he[i + 1]]
         yield pd.DataFrame(rows, columns=["bucket", "keys"])
 
 
@@ -287,26 +333,31 @@ def _match(b: pd.DataFrame) -> pd.DataFrame:
     sides: tuple[list, list] = ([], [])
     for x in b["keys"]:
         first, train = np.frombuffer(x, np.int64, 2)
-        n = (len(x) - 16) // 6
-        key, place = np.frombuffer(x, np.uint32, n, 16), np.frombuffer(x, np.uint16, n, 16 + 4 * n)
+        n = (len(x) - 16) // 8
+        key, record, before, after = (np.frombuffer(x, kind, n, 16 + at * n) for kind, at in ((np.uint32, 0), (np.uint16, 4), (np.uint8, 6), (np.uint8, 7)))
         for side, part in zip(sides, (slice(0, train), slice(train, n)), strict=True):
-            side.append((key[part], first + place[part].astype(np.int64)))
-    (tk, ti), (hk, hi) = ((np.concatenate([k for k, _ in s]), np.concatenate([i for _, i in s])) for s in sides)
+            side.append((key[part], first + record[part].astype(np.int64), before[part], after[part]))
     low = np.uint64(0xFFFFFFFF)
-    t = np.sort(tk.astype(np.uint64) << np.uint64(32) | np.arange(len(tk), dtype=np.uint64))
-    h = np.sort(hk.astype(np.uint64) << np.uint64(32) | np.arange(len(hk), dtype=np.uint64))
-    tk, ti, hk, hi = t >> np.uint64(32), ti[(t & low).astype(np.int64)], h >> np.uint64(32), hi[(h & low).astype(np.int64)]
+    (tk, *t), (hk, *h) = (tuple(np.concatenate(c) for c in zip(*side, strict=True)) for side in sides)
+    order = [np.sort(k.astype(np.uint64) << np.uint64(32) | np.arange(len(k), dtype=np.uint64)) for k in (tk, hk)]
+    tk, hk = (x >> np.uint64(32) for x in order)
     begin = np.searchsorted(tk, hk)
     count = np.searchsorted(tk, hk, "right") - begin
     hit = np.flatnonzero(count)
-    begin, count, hi = begin[hit], count[hit], hi[hit]
-    out = [pd.DataFrame({"a": ti[:0], "b": hi[:0]})]
+    begin, count = begin[hit], count[hit]
+    ti, hi = (order[0] & low).astype(np.int64), (order[1][hit] & low).astype(np.int64)
+    out = [pd.DataFrame({"a": t[0][:0], "b": h[0][:0]})]
     # a key that many records have on both sides makes its pairs in stretches
     total = np.cumsum(count)
     for low_ in range(0, int(total[-1]) if len(total) else 0, _PAIRS):
         pair = np.arange(low_, min(low_ + _PAIRS, int(total[-1])))
         of = np.searchsorted(total, pair, "right")
-        out.append(pd.DataFrame({"a": ti[begin[of] + pair - (total[of] - count[of])], "b": hi[of]}).drop_duplicates())
+        x, y = ti[begin[of] + pair - (total[of] - count[of])], hi[of]
+        before, after, before_, after_ = (c[i].astype(np.int64) for i, side in ((x, t), (y, h)) for c in side[1:])
+        # words that one has more before or after are edits, but for those by which the part and its window may differ
+        near = np.abs(before - before_) + np.abs(after - after_) <= (EDIT_SHARE * np.maximum(before + after, before_ + after_)).astype(np.int64) + 4
+        near |= (before == 255) | (before_ == 255)
+        out.append(pd.DataFrame({"a": t[0][x[near]], "b": h[0][y[near]]}).drop_duplicates())
         if len(out) > 8:
             out = [pd.concat(out).drop_duplicates()]
     found = pd.concat(out).drop_duplicates()
@@ -357,27 +408,28 @@ def classes(records: DataFrame, id_col: str = "example_id", split_col: str = "sp
 def near_classes(reps: DataFrame) -> DataFrame:
     """Pairs of different classes, ``a`` with train and ``b`` with held-out members, with distance and overlap.
 
-    Classes are numbers until texts are compared. Their keys go to buckets, 6 bytes each, one pass of them after the
+    Classes are numbers until texts are compared. Their keys go to buckets, 8 bytes each, one pass of them after the
     other; what a pass has shuffled is gone before the next begins.
     """
     spark = reps.sparkSession
     # keys a word, about: up to two of a train record, six of a held-out one
     keys = reps.agg(F.sum(F.col("n").cast("bigint") * (2 * F.col("train") + 6 * F.col("held")))).first()[0] or 0
     buckets = max(slots(spark), keys // (PASSES * _BUCKET))
-    coded = settled(reps.select("id", "words", "n", "train", "held").mapInPandas(_coded, "first long, n int, size long, data binary"))
+    coded = settled(reps.select("id", "words", "n", "train", "held").mapInPandas(_coded, "first long, n int, distinct int, size long, data binary"))
+    counts = settled(coded.mapInPandas(_bags, "id long, n int, side int, bag binary"))
+    bags = lambda bit, c: counts.where(F.col("side").bitwiseAND(F.lit(bit)) > 0).select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bag").alias(f"bag_{c}"))
     pairs = None
     for i in range(PASSES):
-        found = settled(coded.mapInPandas(partial(_keys, buckets=buckets, only=i), "bucket int, keys binary").groupBy("bucket").applyInPandas(_match, "a long, b long").distinct())
+        found = coded.mapInPandas(partial(_keys, buckets=buckets, only=i), "bucket int, keys binary").groupBy("bucket").applyInPandas(_match, "a long, b long").distinct()
+        # few chance pairs are left when texts are joined
+        found = settled(found.join(bags(1, "a"), "a").join(bags(2, "b"), "b").mapInPandas(_alike, "a long, b long"))
         pairs = found if pairs is None else pairs.unionByName(found)
     # texts grow with the data: they are joined by shuffles, never sent to the driver
-    texts = lambda side, c: reps.where(f"{side} = 1").select(F.col("id").alias(c), F.col("cls").alias(f"cls_{c}"), F.col("words").alias(f"words_{c}"), F.col("n").alias(f"n_{c}")).hint("merge")
-    # what is too far apart in length cannot be within the edits
-    near = F.abs(F.col("n_a") - F.col("n_b")) <= F.floor(F.greatest("n_a", "n_b") * EDIT_SHARE)
+    texts = lambda side, c: reps.where(f"{side} = 1").select(F.col("id").alias(c), F.col("cls").alias(f"cls_{c}"), F.col("words").alias(f"words_{c}")).hint("merge")
     return settled(
         pairs.distinct()
         .join(texts("train", "a"), "a")
         .join(texts("held", "b"), "b")
-        .where(near)
         .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "words_a", "words_b")
         .mapInPandas(_verify, "a string, b string, distance int, overlap double")
     )

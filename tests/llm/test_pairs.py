@@ -289,7 +289,7 @@ def sneaky(r, x, k):
 def test_keys_of_all_pairs():
     r = random.Random(21)
     seen = hard = 0
-    for t in range(6_000):
+    for t in range(2_500):
         n = r.randint(20, 80) if t % 4 else 24
         x = [f"w{r.getrandbits(30)}" for _ in range(n)] if t % 3 else r.choices(["ha", "ja", *[f"w{i}" for i in range(40)]], k=n)
         if t % 2:
@@ -304,7 +304,7 @@ def test_keys_of_all_pairs():
         seen += 1
         hard += 2 * (len(x) // overlap.PART) <= max(len(x), len(y)) // 4
         assert set(overlap.candidate_keys(*overlap.word_codes([" ".join(x)]), True)[1]) & set(overlap.candidate_keys(*overlap.word_codes([" ".join(y)]), False)[1]), (x, y)
-    assert seen > 2_000 and hard > 100
+    assert seen > 800 and hard > 40
 
 
 def test_disk_of_pairs(spark, tmp_path):
@@ -323,3 +323,20 @@ def test_disk_of_pairs(spark, tmp_path):
     before = used()
     got = overlap.cross_split_pairs(spark.read.parquet(path)).collect()
     assert len(got) == 50 and used() - before < 4 * size(path)
+
+
+def test_spoilt_parts(spark):
+    """Pairs at the bound of edits, either record the longer one, some of few words and some of many."""
+    r = random.Random(23)
+    rows, want = [], set()
+    for k in range(400):
+        n = r.choice([20, 24, 27, 35, 47, 53, 64, r.randint(20, 90), r.randint(200, 400)])
+        x = [f"w{r.getrandbits(30)}x" for _ in range(n)] if k % 4 else [f"{k}v", *r.choices([f"{k}a", f"{k}b", f"{k}c"], k=n - 1)]
+        y = sneaky(r, x, n // 3) if k % 3 else edited(r, x, n // 4)
+        if min(len(x), len(y)) < overlap.LEAST_WORDS or overlap.within(x, y, max(len(x), len(y)) // 4) is None:
+            continue
+        x, y = r.choice([(x, y), (y, x)])
+        rows += [(f"{k}-a", "train", "x", " ".join(x)), (f"{k}-b", "test", "x", " ".join(y))]
+        want.add((f"{k}-a", f"{k}-b"))
+    df = spark.createDataFrame(rows, "example_id string, split string, corpus string, text string")
+    assert {(x["id_a"], x["id_b"]) for x in overlap.cross_split_pairs(df).collect()} >= want and len(want) > 200
